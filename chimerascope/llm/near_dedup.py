@@ -3,11 +3,11 @@
 Each document's shingle hashes are split by their top bits into bins and every bin
 keeps its smallest hash; an empty bin borrows from a bin found by a fixed random
 probe sequence (optimal densification). Bands of bins become bucket keys. Every
-bucket proposes a star: its smallest document against each other member. Proposed
+bucket proposes a star: its most central document against each other member. Proposed
 pairs are confirmed on the full shingle sets, confirmed links become components,
-and a bucket whose members still lie in more than one component proposes a further
-star from its next member, until no bucket is open. So the pairs stay near-linear in the
-bucket sizes, and a pair that shares a bucket is not lost when it fails against a hub.
+and a bucket whose members still lie in more than one component proposes further
+stars from its next members, until no bucket is open. So the pairs stay near-linear in
+the bucket sizes, and a pair that shares a bucket isn't lost when it fails against a hub.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chimerascope.llm.shared import scratch, shingle_set, utf8_views
@@ -83,30 +83,32 @@ def sketches(docs: DataFrame, *, shingle: int, bins: int, rows: int) -> DataFram
     return node_id(docs).mapInArrow(run, "node long, n_shingles long, digest binary, keys array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _member_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, members): the full shingle set, as bytes, of each text of the given nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(raw, shingle).tobytes() for raw in utf8_views(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "members"])
+
+    return node_id(docs).join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, members binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    texts = node_id(docs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = scratch(texts.join(wanted, "node", "left_semi"), "near-texts")
     both = (
-        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
+        .join(sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a")
+        .select("a", "b", "set_a", "set_b")
     )
 
+    def linked(one: np.ndarray, other: np.ndarray) -> bool:
+        shared = len(np.intersect1d(one.view(np.uint64), other.view(np.uint64), assume_unique=True))
+        return 100 * shared >= percent * ((len(one) + len(other)) // 8 - shared)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, None
         for batch in batches:
-            keep = []
-            ids = batch.column(0).to_pylist()
-            for a, raw_a, raw_b in zip(ids, utf8_views(batch.column(2)), utf8_views(batch.column(3)), strict=True):
-                if hub is None or a != hub[0] or not np.array_equal(raw_a, hub[1]):
-                    hub, hub_set = (a, raw_a.copy()), shingle_set(raw_a, shingle)
-                other = shingle_set(raw_b, shingle)
-                total = len(hub_set) + len(other)
-                low, high = sorted((len(hub_set), len(other)))
-                shared = 0 if 100 * low < percent * high else len(np.intersect1d(hub_set, other, assume_unique=True))
-                keep.append(100 * shared >= percent * (total - shared))
+            keep = [linked(x.copy(), y.copy()) for x, y in zip(utf8_views(batch.column(2)), utf8_views(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long").distinct()
@@ -115,7 +117,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (a, b): the smallest node that it reaches. Minimum labels spread over links, with pointer jumping, each round a written table."""
     both = scratch(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels")
+    labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
@@ -124,47 +126,61 @@ def components(links: DataFrame) -> DataFrame:
             lower.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")),
             "labels",
         )
-        moved = not step.filter("component < was").isEmpty()
         labels = step.select("node", "component")
-        if not moved:
+        if step.filter("component < was").isEmpty():
             return labels
 
 
+def _with_component(rows: DataFrame, groups: DataFrame, node: str, name: str) -> DataFrame:
+    own = groups.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(own, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups with the components joined that new links connect; works on components, so it grows with the new links alone."""
+    ends = _with_component(_with_component(links, groups, "a", "ca"), groups, "b", "cb")
+    met = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("lower"))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left_anti")
+    nodes = groups.union(new.select("node", F.col("node").alias("component")))
+    return scratch(nodes.join(met, "component", "left").select("node", F.least("component", F.coalesce("lower", "component")).alias("component")), "groups")
+
+
 def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bins: int = 256, rows: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Sketches of docs and the components of their links."""
+    """Sketches of docs and the components of their links.
+
+    Each round a bucket proposes the stars of its most central members left (those that
+    share the most buckets with others), one of them at first and four times as many each further round, against all other members in other
+    components; members that were hubs leave the bucket. A bucket is closed when its
+    members left lie in one component.
+    """
     table = scratch(sketches(docs, shingle=shingle, bins=bins, rows=rows), "sketches")
-    alike = table.filter("digest is not null").groupBy("digest").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    copies = scratch(table.select("node", "digest").join(alike, "digest").filter("node != a").select("a", F.col("node").alias("b")).distinct(), "copies")
-    single = table.filter("digest is not null").select("node", "keys").join(copies.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+    some = table.filter("digest is not null")
+    alike = some.groupBy("digest").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    copies = scratch(some.select("node", "digest").join(alike, "digest").filter("node != a").select("a", F.col("node").alias("b")).distinct(), "copies")
+    single = some.join(copies.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
     member = single.select("node", F.explode("keys").alias("bucket"))
-    hubs = member.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("bucket", "hub")
-    open_rows = scratch(member.join(hubs, "bucket").filter("node >= hub").select("bucket", "node", "hub").distinct(), "members")
-    links, asked, groups = copies, None, None
-    while True:
-        stars = open_rows.filter("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        if groups is not None:
-            of = groups.select("node", "component")
-            stars = (
-                stars.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-                .join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-                .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-                .select("a", "b")
-            )
-            stars = stars.join(asked, ["a", "b"], "left_anti")
-        stars = scratch(stars, "stars")
-        links = scratch(links.union(_confirmed(stars, docs, shingle, percent)), "confirmed")
-        groups = components(links)
-        asked = stars if asked is None else asked.union(stars)
-        left = open_rows.filter("node != hub").select("bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        still = (
-            left.groupBy("bucket")
-            .agg(F.min("node").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-            .filter("low != high")
-            .select("bucket", "hub")
-        )
-        open_rows = scratch(left.select("bucket", "node").join(still, "bucket").select("bucket", "node", "hub"), "members")
-        if open_rows.isEmpty():
-            return table, groups
+    shared = member.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("near")).filter("low < high").select("bucket", "near")
+    sized = single.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    left = scratch(member.join(shared, "bucket").distinct(), "members")
+    met = left.groupBy("node").agg(F.sum("near").alias("near"))
+    left = scratch(left.drop("near").join(met, "node").join(sized, "node").withColumn("component", F.col("node")), "members")
+    sets = scratch(_member_sets(docs, left.select("node").distinct(), shingle), "sets")
+    groups, hubs = components(copies), 1
+    by_node = Window.partitionBy("bucket").orderBy(F.desc("near"), "node")
+    while not left.isEmpty():
+        hub = left.withColumn("place", F.row_number().over(by_node)).filter(F.col("place") <= hubs)
+        hub = hub.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "least", "most", "component")])
+        able = (F.col("most") * 100 >= F.col("hub_least") * percent) & (F.col("hub_most") * 100 >= F.col("least") * percent)
+        stars = left.join(hub, "bucket").filter((F.col("component") != F.col("hub_component")) & able)
+        stars = scratch(stars.select(F.least("hub_node", "node").alias("a"), F.greatest("hub_node", "node").alias("b")).distinct(), "stars")
+        links = scratch(_confirmed(stars, sets, percent), "confirmed")
+        groups = _merged(groups, links)
+        rest = left.select("bucket", "node", "near", "least", "most").join(hub.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti")
+        rest = _with_component(rest, groups, "node", "component")
+        still = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+        left = scratch(rest.join(still, "bucket"), "members")
+        hubs *= 4
+    return table, groups
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bins: int = 256, rows: int = 6) -> DataFrame:
