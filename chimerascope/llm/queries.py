@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chimerascope.llm import chat, decontaminate, language, licenses, mixing, near_dedup, pii, quality, secrets
+from chimerascope.llm import chat, decontaminate, language, licenses, mixing, near_dedup, neighbours, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_maximal(_table(spark, sf_dir, "conversations"))
 
@@ -52,7 +56,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pii, op2_quality, op3_near_dedup, op4_language, op6_chat, op7_secrets, op8_mixing, op9_licenses, op10_decontaminate)
+    every = (op1_pii, op2_quality, op3_near_dedup, op4_language, op5_neighbours, op6_chat, op7_secrets, op8_mixing, op9_licenses, op10_decontaminate)
     return {f.__name__: f for f in every}
 
 
