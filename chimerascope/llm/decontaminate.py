@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chimerascope.llm.shared import scratch
+from chimerascope.llm.shared import all_columns, scratch
 
 #: What separates words: ASCII characters other than letters and digits.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -110,7 +110,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, perce
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose text contains a benchmark item; all columns, null texts and repeated rows stay."""
     keyed, leaks = _leaks(docs, benchmark, shingle=shingle, percent=percent)
-    return keyed.join(_small_or_not(leaks.select("__key").distinct()), "__key", "left_anti").select(*docs.columns)
+    return keyed.join(_small_or_not(leaks.select("__key").distinct()), "__key", "left_anti").select(*all_columns(docs))
 
 
 ORACLE = r"""

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by exact length. A source's budget first takes whole passes and an
-even share of every length; a bounded-knapsack dynamic programme over the remaining
-counts then closes the remaining budget exactly where the lengths allow it. Which
+Documents are counted by exact length. A source's budget first takes whole passes and,
+but for the last KNAPSACK_WORDS words, an even share of every length; a bounded-knapsack
+dynamic programme over the remaining counts then closes the rest exactly where the
+lengths allow it. Which
 documents of a length are taken follows from a seeded hash.
 """
 
@@ -57,13 +58,14 @@ def targets(sized: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come to budget, or as near below it as can be. lengths ascend and are positive."""
+    """How many documents of each length to take so that their words come to budget, or as near to it as can be. lengths ascend and are positive."""
     total = int((lengths * counts).sum())
     if budget <= 0 or total <= 0:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
+    even = max(0, budget - KNAPSACK_WORDS)
+    taken = np.array([int(c) * even // total for c in counts], dtype=np.int64)
     left = counts - taken
     rest = budget - int((taken * lengths).sum())
     for i in range(len(lengths) - 1, -1, -1):
@@ -73,12 +75,13 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         taken[i] += k
         left[i] -= k
         rest -= k * int(lengths[i])
-    reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
+    highest = 2 * rest  # sums above that are no nearer than none
+    reach, mask, steps = 1, (1 << (highest + 1)) - 1, []
     for i in range(len(lengths)):
         size, n, part = int(lengths[i]), int(left[i]), 1
-        if size > rest or reach >> rest & 1:
+        if size > highest or reach >> rest & 1:
             break
-        n = min(n, rest // size)
+        n = min(n, highest // size)
         while n > 0:
             part = min(part, n)
             wider = (reach | reach << part * size) & mask
@@ -87,7 +90,8 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                 reach = wider
             n -= part
             part *= 2
-    at = reach.bit_length() - 1
+    below, above = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1, reach >> rest
+    at = rest + (above & -above).bit_length() - 1 if above and (above & -above).bit_length() - 1 < rest - below else below
     for i, part, before in reversed(steps):
         if not before >> at & 1:
             taken[i] += part

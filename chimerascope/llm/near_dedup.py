@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chimerascope.llm.shared import scratch, shingle_set, utf8_views
+from chimerascope.llm.shared import all_columns, scratch, shingle_set, utf8_views
 
 #: Rows without a doc_id get a stand-in above this value, from a hash of their text.
 STAND_IN = 1 << 62
@@ -217,5 +217,5 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80
     stand_in = F.lit(STAND_IN) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
     gone = groups.filter("component != node").select(F.col("node").alias("__node"))
     kept = docs.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), stand_in)).join(gone, "__node", "left_anti")
-    one = kept.groupBy("__node").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("row"))
+    one = kept.groupBy("__node").agg(F.min_by(F.struct(*all_columns(docs)), F.coalesce("text", F.lit(""))).alias("row"))
     return one.select("row.*")

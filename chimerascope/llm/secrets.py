@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chimerascope.llm.shared import scratch
+from chimerascope.llm.shared import all_columns, scratch
 from chimerascope.llm.spans import SPAN, count_kind, digest_text, find
 
 # Kinds of secrets, the base ones first, in the order that breaks ties.
@@ -118,4 +118,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["b"]).alias("at"), F.when(s["a"] >= acc["at"], fresh_piece).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return marked.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(clean)).select(*docs.columns)
+    return marked.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(clean)).select(*all_columns(docs))

@@ -55,9 +55,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z, every other character as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of df by name, whatever signs the names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
 
 
 def remainder(doc_id: Column, n: int) -> Column:
