@@ -14,6 +14,10 @@ from chimerascope.sources import panther
 STRUCTURE_SOURCES = ("sifts", "alphafold")
 
 
+def _int(name: str, alias: str | None = None) -> Column:
+    return F.col(name).cast("int").alias(alias or name)
+
+
 def source_label(analysis: DataFrame) -> Column:
     """The database of an analysis where it has one, else its name; the database column is optional."""
     name = F.nullif(F.col("logic_name"), F.lit(""))
@@ -24,15 +28,15 @@ def source_label(analysis: DataFrame) -> Column:
 def canonical(raw: dict[str, DataFrame]) -> DataFrame:
     """Current transcripts with region, assembly, canonical translation and whether they have any translation."""
     t = raw["transcript"].filter("is_current = 1").select(
-        "transcript_id", "stable_id", "version", "seq_region_id", F.col("seq_region_start").alias("start"), F.col("seq_region_end").alias("end"),
-        F.col("seq_region_strand").alias("strand"), "canonical_translation_id",
+        "transcript_id", "stable_id", "version", "seq_region_id", _int("seq_region_start", "start"), _int("seq_region_end", "end"),
+        _int("seq_region_strand", "strand"), "canonical_translation_id",
     )
     regions = raw["seq_region"].join(raw["coord_system"].select("coord_system_id", F.col("version").alias("assembly_name")), "coord_system_id")
     t = t.join(regions.select("seq_region_id", F.col("name").alias("chromosome"), "assembly_name"), "seq_region_id")
     t = with_flag(t, raw["translation"], ["transcript_id"], "has_translation")
     p = raw["translation"].select(
         F.col("translation_id").alias("canonical_translation_id"), F.col("transcript_id").alias("p_transcript"), F.col("stable_id").alias("translation_stable"),
-        F.col("version").alias("translation_version"), "seq_start", "start_exon_id", "seq_end", "end_exon_id",
+        _int("version", "translation_version"), _int("seq_start"), "start_exon_id", _int("seq_end"), "end_exon_id",
     )
     joined = t.join(p, "canonical_translation_id", "left")
     return joined.filter("p_transcript is null or p_transcript = transcript_id").drop("p_transcript")
@@ -40,7 +44,7 @@ def canonical(raw: dict[str, DataFrame]) -> DataFrame:
 
 def exon_table(raw: dict[str, DataFrame]) -> DataFrame:
     e = raw["exon"].select(
-        "exon_id", "seq_region_id", F.col("seq_region_start").alias("start"), F.col("seq_region_end").alias("end"), F.col("seq_region_strand").alias("strand"), "phase"
+        "exon_id", "seq_region_id", _int("seq_region_start", "start"), _int("seq_region_end", "end"), _int("seq_region_strand", "strand"), _int("phase")
     )
     return raw["exon_transcript"].join(e, "exon_id").select("transcript_id", "exon_id", "rank", "start", "end", "strand", "phase", "seq_region_id")
 
@@ -49,7 +53,7 @@ def signature_features(raw: dict[str, DataFrame], entries: DataFrame, classes: D
     """Features of translations with their source, integrated entry and family assignment; one row for each entry that a signature belongs to."""
     labels = raw["analysis"].select("analysis_id", source_label(raw["analysis"]).alias("source"))
     f = raw["protein_feature"].select(
-        "protein_feature_id", "translation_id", F.col("seq_start").alias("start"), F.col("seq_end").alias("end"), F.col("hit_name"), F.col("hit_description"), "analysis_id"
+        "protein_feature_id", "translation_id", _int("seq_start", "start"), _int("seq_end", "end"), "hit_name", "hit_description", "analysis_id"
     )
     rows = f.join(labels, "analysis_id", "left").join(raw["interpro"].select(F.col("id").alias("hit_name"), F.col("interpro_ac").alias("interpro_id")), "hit_name", "left")
     rows = rows.filter(~F.coalesce(F.lower("source").isin(*STRUCTURE_SOURCES), F.lit(False)))
