@@ -19,7 +19,8 @@ def covered_by_key(rows: DataFrame, keys: Sequence[str], start: str, end: str) -
 def numbered_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str) -> DataFrame:
     """rows with run, the number from 1 of the stretch of equal kinds that each lies in."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    changed = F.when(F.lag(kind).over(window).eqNullSafe(F.col(kind)), 0).otherwise(1)
+    same = (F.row_number().over(window) > 1) & F.lag(kind).over(window).eqNullSafe(F.col(kind))
+    changed = F.when(same, 0).otherwise(1)
     return rows.withColumn("__new", changed).withColumn("run", F.sum("__new").over(window)).drop("__new")
 
 
