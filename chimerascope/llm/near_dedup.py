@@ -6,7 +6,8 @@ probe sequence (optimal densification). Bands of bins become bucket keys. Every
 bucket proposes a star: its most central document against each other member. Proposed
 pairs are confirmed on the full shingle sets, confirmed links become components,
 and a bucket whose members still lie in more than one component proposes further
-stars from its next members, until no bucket is open. So the pairs stay near-linear in
+stars from its next members, until no bucket is open; shingles that few documents have
+tell beforehand which of these pairs can't be links. So the pairs stay near-linear in
 the bucket sizes, and a pair that shares a bucket isn't lost when it fails against a hub.
 """
 
@@ -24,6 +25,8 @@ from chimerascope.llm.shared import all_columns, scratch, shingle_set, utf8_view
 
 #: Rows without a doc_id get a stand-in above this value, from a hash of their text.
 STAND_IN = 1 << 62
+#: A shingle that so many open documents have at most is rare.
+RARE = 100
 
 
 def node_id(df: DataFrame) -> DataFrame:
@@ -114,6 +117,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rare_shingles(sets: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, rare): how many of a node's shingles at most RARE of the given nodes have, and pairs (a, b) of nodes of different components that share such a shingle.
+
+    Two sets that share no rare shingle can't share more than either has of the others.
+    Two linked sets that share one share one among the rarest shingles of each, as many as
+    a linked set may lack and one more (prefix filtering); so only those are paired, and
+    the pairs are at most RARE for each. Nodes of several texts pair by all rare shingles
+    and have no bound.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column(0).to_pylist(), utf8_views(batch.column(1)), strict=True):
+                shingles = raw.copy().view(np.int64)
+                own = [pa.array(np.full(len(shingles), x)) for x in (node, len(shingles))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(shingles)], names=["node", "size", "shingle"])
+
+    held = sets.join(nodes, "node", "left_semi")
+    several = held.groupBy("node").agg((F.count("*") > 1).alias("several"))
+    spread = held.select("node", "members").mapInArrow(run, "node long, size long, shingle long").dropDuplicates(["node", "shingle"])
+    counts = spread.groupBy("shingle").agg(F.count("*").alias("nodes")).filter(F.col("nodes") <= RARE)
+    rare = spread.join(counts, "shingle").join(several, "node")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("nodes", "shingle"))
+    rare = scratch(rare.withColumn("place", place).select("node", "size", "shingle", "nodes", "place", "several"), "rare")
+    bounds = rare.filter("not several").groupBy("node").agg(F.max("place").alias("rare"))
+    first = rare.filter((F.col("nodes") > 1) & (F.col("several") | (F.col("place") <= F.floor(F.col("size") * (100 - percent) / 100) + 1))).select("shingle", "node")
+    first = scratch(_with_component(first, groups, "node", "component"), "rarest")
+    one, other = (first.select("shingle", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in ("a", "b"))
+    pairs = one.join(other, "shingle").filter("a < b and ca != cb").select("a", "b").distinct()
+    return bounds, pairs
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (a, b): the smallest node that it reaches. Minimum labels spread over links, with pointer jumping, each round a written table."""
     both = scratch(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -151,7 +186,10 @@ def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bins
     Each round a bucket proposes the stars of its most central members left (those that
     share the most buckets with others), one of them at first and four times as many each further round, against all other members in other
     components; members that were hubs leave the bucket. A bucket is closed when its
-    members left lie in one component.
+    members left lie in one component. After the first round the members left are also
+    compared by their rare shingles: those that share one are paired at once, and all
+    other pairs are bounded by what they have besides, which rules out most pairs of a
+    large family, and many of its members, without looking at them.
     """
     table = scratch(sketches(docs, shingle=shingle, bins=bins, rows=rows), "sketches")
     some = table.filter("digest is not null")
@@ -163,19 +201,26 @@ def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bins
     sized = single.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     left = scratch(member.join(shared, "bucket").distinct(), "members")
     met = left.groupBy("node").agg(F.sum("near").alias("near"))
-    left = scratch(left.drop("near").join(met, "node").join(sized, "node").withColumn("component", F.col("node")), "members")
+    left = scratch(left.drop("near").join(met, "node").join(sized, "node").withColumns({"component": F.col("node"), "reach": F.col("most")}), "members")
     sets = scratch(_member_sets(docs, left.select("node").distinct(), shingle), "sets")
     groups, hubs = components(copies), 1
     by_node = Window.partitionBy("bucket").orderBy(F.desc("near"), "node")
     while not left.isEmpty():
         hub = left.withColumn("place", F.row_number().over(by_node)).filter(F.col("place") <= hubs)
-        hub = hub.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "least", "most", "component")])
+        hub = hub.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "least", "most", "component", "reach")])
         able = (F.col("most") * 100 >= F.col("hub_least") * percent) & (F.col("hub_most") * 100 >= F.col("least") * percent)
+        able &= F.least("reach", "hub_reach") * (100 + percent) >= (F.col("least") + F.col("hub_least")) * percent
         stars = left.join(hub, "bucket").filter((F.col("component") != F.col("hub_component")) & able)
         stars = scratch(stars.select(F.least("hub_node", "node").alias("a"), F.greatest("hub_node", "node").alias("b")).distinct(), "stars")
         links = scratch(_confirmed(stars, sets, percent), "confirmed")
         groups = _merged(groups, links)
-        rest = left.select("bucket", "node", "near", "least", "most").join(hub.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti")
+        rest = left.select("bucket", "node", "near", "least", "most", "reach").join(hub.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti")
+        if hubs == 1:
+            rest = scratch(rest, "members")
+            bounds, pairs = _rare_shingles(sets, rest.select("node").distinct(), groups, percent)
+            groups = _merged(groups, scratch(_confirmed(scratch(pairs, "stars"), sets, percent), "confirmed"))
+            rest = rest.join(bounds, "node", "left").withColumn("reach", F.col("most") - F.coalesce("rare", F.lit(0))).drop("rare")
+            rest = rest.filter(F.col("reach") * 100 >= F.col("least") * percent)
         rest = _with_component(rest, groups, "node", "component")
         still = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
         left = scratch(rest.join(still, "bucket"), "members")
