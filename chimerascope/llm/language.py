@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from chimerascope.llm.shared import remainder, scratch, utf8_views
 
 PROFILE_LENGTH = 300
+#: A table of so many languages at most, a short row each, is broadcast; a larger one is joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 _PIECE = 1 << 20
 _EDGE = 0x5F
 
@@ -85,7 +87,8 @@ def train(docs: DataFrame, *, per_language: int = 2_000, length: int = PROFILE_L
     n, fold = held_out
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), n) != fold))
     shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
-    drawn = usable.join(shares, "lang").filter(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) < F.col("share") * F.lit(float(1 << 53)))
+    shares = scratch(shares, "languages")
+    drawn = usable.join(F.broadcast(shares) if shares.count() <= BROADCAST_LANGUAGES else shares, "lang").filter(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) < F.col("share") * F.lit(float(1 << 53)))
     letters = letter_table()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
