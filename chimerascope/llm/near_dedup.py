@@ -184,8 +184,9 @@ def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bins
     """Sketches of docs and the components of their links.
 
     Each round a bucket proposes the stars of its most central members left (those that
-    share the most buckets with others), one of them at first and four times as many each further round, against all other members in other
-    components; members that were hubs leave the bucket. A bucket is closed when its
+    share the most buckets with others), one of them at first and sixteen times as many
+    each further round, against all other members in other components; members that were
+    hubs leave the bucket. A bucket is closed when its
     members left lie in one component. After the first round the members left are also
     compared by their rare shingles: those that share one are paired at once, and all
     other pairs are bounded by what they have besides, which rules out most pairs of a
@@ -224,7 +225,7 @@ def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bins
         rest = _with_component(rest, groups, "node", "component")
         still = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
         left = scratch(rest.join(still, "bucket"), "members")
-        hubs *= 4
+        hubs *= 16
     return table, groups
 
 
