@@ -4,6 +4,8 @@ A fast pseudo-rotation, three rounds of random signs and a Hadamard transform, t
 vector; its bucket in a table is the signed axis nearest to the turned vector. Each of
 several tables has its own rotation. A query probes its best few axes in every table, and
 all vectors in those buckets are reranked by the exact inner product in double precision.
+Buckets follow directions, so where norms differ they don't lead to the largest inner
+products, and every query is compared with all vectors instead, block by block.
 
 Equal vectors are indexed once, with the few smallest ids that can matter, and large
 buckets are dealt out in blocks of bounded size, so neither a common vector nor a common
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chimerascope.llm.shared import scratch
@@ -24,6 +26,8 @@ from chimerascope.llm.shared import scratch
 #: Neighbouring buckets that one task takes together, and the most of their vectors that it takes on either side.
 ZONE_BUCKETS = 16
 BLOCK_ROWS = 8192
+#: A smaller set of vectors is dealt out in up to SPREAD blocks of SPREAD_ROWS when queries are compared with all of it.
+SPREAD, SPREAD_ROWS = 64, 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,20 +54,62 @@ def axis_scores(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, k1, k2) of the vectors that take part, and a 128-bit key of equal vectors."""
+    """(vec_id, n, v, k1, k2) of the vectors that take part: their length, and a 128-bit key of equal vectors."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).filter("vec_id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.filter((F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
-    return rows.select("vec_id", "v", *[F.xxhash64(F.lit(k), "v").alias(f"k{k}") for k in (1, 2)])
+    return rows.select("vec_id", F.size("v").alias("n"), "v", *[F.xxhash64(F.lit(k), "v").alias(f"k{k}") for k in (1, 2)])
 
 
-def _prepared(batch: pd.DataFrame, width: int, longest: float) -> np.ndarray:
-    """Rows as points of the sphere of radius longest: padded with zeros, and with what the norm lacks in the last place."""
-    x = np.zeros((len(batch), width))
-    x[:, : len(batch["v"].iloc[0])] = np.stack(batch["v"].to_numpy())
-    if longest:
-        x[:, -1] = np.sqrt(np.maximum(longest**2 - (x**2).sum(axis=1), 0))
-    return x
+def _padded(batches: Iterator[pd.DataFrame], tables: int, seed: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """The rows of each length n, as points padded with zeros to a power of two, and that width's rotations."""
+    for batch in batches:
+        for n, part in batch.groupby("n"):
+            x = np.zeros((len(part), 1 << (int(n) - 1).bit_length()))
+            x[:, :n] = np.stack(part["v"].to_numpy())
+            yield part, x, rotations(tables, x.shape[1], seed)
+
+
+def _best(scored: DataFrame, most: int) -> DataFrame:
+    """The most best c of each q of (n, q, c, score), of equal ones the smallest."""
+    place = F.row_number().over(Window.partitionBy("n", "q").orderBy(F.desc("score"), "c"))
+    return scored.groupBy("n", "q", "c").agg(F.max("score").alias("score")).withColumn("place", place).filter(F.col("place") <= most).drop("place")
+
+
+def _compared(probe: DataFrame, index: DataFrame, most: int, blocks: Column) -> DataFrame:
+    """(n, q, c, score) of the rows (n, table, bucket, rep, v) of probe with the best of the same n, table and bucket of index; blocks: in how many the index rows of a zone are dealt."""
+    zoned = lambda df: df.withColumn("zone", F.floor(F.col("bucket") / ZONE_BUCKETS).cast("int"))
+    index, probe = zoned(index), zoned(probe)
+    zone = ["n", "table", "zone"]
+    held, asking = index.groupBy(*zone).agg(blocks.cast("int").alias("blocks")), probe.groupBy(*zone).agg(_in_blocks(BLOCK_ROWS).cast("int").alias("parts"))
+    grid = held.join(asking, zone)
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = index.join(grid, zone).withColumn("block", own("blocks")).withColumn("part", each("parts"))
+    probe = probe.join(grid, zone).withColumn("part", own("parts")).withColumn("block", each("blocks"))
+
+    def rerank(key: tuple, asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"n": np.empty(0, np.int32), "q": np.empty(0, np.int64), "c": np.empty(0, np.int64), "score": np.empty(0)})]
+        held = {bucket: rows.sort_values("rep") for bucket, rows in held.groupby("bucket")}
+        for bucket, some in asking.groupby("bucket"):
+            if bucket not in held:
+                continue
+            c, reps = np.stack(held[bucket]["v"].to_numpy()).astype(np.float64), held[bucket]["rep"].to_numpy()
+            for start in range(0, len(some), 256):
+                part = some.iloc[start : start + 256]
+                scores = np.einsum("qd,cd->qc", np.stack(part["v"].to_numpy()).astype(np.float64), c)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+                columns = {"q": np.repeat(part["rep"].to_numpy(), top.shape[1]), "c": reps[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()}
+                out.append(pd.DataFrame({"n": np.int32(key[0]), **columns}))
+        return pd.concat(out)
+
+    key, columns = [*zone, "block", "part"], ["bucket", "rep", "v"]
+    asking, held = probe.select(*key, *columns).groupBy(*key), index.select(*key, *columns).groupBy(*key)
+    return asking.cogroup(held).applyInPandas(rerank, "n int, q long, c long, score double")
+
+
+def _in_blocks(rows: int) -> Column:
+    return F.ceil(F.count("*") / rows)
 
 
 def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 24, probes: int = 6, seed: int = 11) -> DataFrame:
@@ -76,85 +122,58 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
     Repeated rows are found once. An empty table gives no rows; other columns are left
     out. Vectors shorter than the longest array take no part.
 
-    If the vectors' norms differ, each gets one more coordinate that brings it to the
-    largest norm, so that the nearest direction has the largest inner product.
+    If the vectors' norms differ, every query is compared with all vectors. So the
+    answer is exact, and the work is queries times vectors.
     """
     rows = scratch(usable(vectors), "vectors")
-    facts = rows.agg(F.max(F.size("v")), *[f(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)) for f in (F.min, F.max)]).first()
-    if facts[0] is None:
+    longest = rows.agg(F.max("n")).first()[0]
+    if longest is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("v") == facts[0])
-    uneven = facts[2] > 1.001 * facts[1]
-    longest = float(np.sqrt(facts[2])) if uneven else 0.0
-    width = 1 << (int(facts[0]) + int(uneven) - 1).bit_length()
-    signs = rotations(tables, width, seed)
-
-    by_id = Window.partitionBy("k1", "k2").orderBy("vec_id")
-    ids = rows.select("vec_id", "k1", "k2").distinct().withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= k + 1)
-    ids = scratch(ids.select("k1", "k2", "vec_id"), "vector-ids")
-    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "k1", "k2").distinct()
-    distinct = rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.first("v").alias("v"))
-    distinct = distinct.join(queries.select("k1", "k2").distinct().withColumn("asks", F.lit(True)), ["k1", "k2"], "left")
-    distinct = scratch(distinct.select("rep", "k1", "k2", "v", F.coalesce("asks", F.lit(False)).alias("asks")), "distinct-vectors")
+    rows = rows.filter(F.col("n") == longest)
+
+    by_id = Window.partitionBy("n", "k1", "k2").orderBy("vec_id")
+    ids = rows.select("n", "vec_id", "k1", "k2").distinct().withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= k + 1)
+    ids = scratch(ids.select("n", "k1", "k2", "vec_id"), "vector-ids")
+    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "n", "k1", "k2").distinct()
+    distinct = rows.groupBy("n", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.first("v").alias("v"))
+    distinct = distinct.join(queries.select("n", "k1", "k2").distinct().withColumn("asks", F.lit(True)), ["n", "k1", "k2"], "left")
+    distinct = scratch(distinct.select("n", "rep", "k1", "k2", "v", F.coalesce("asks", F.lit(False)).alias("asks")), "distinct-vectors")
+
+    # One row a length: a table of vectors has few, since it takes the square of their number in components to have more.
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    facts = distinct.groupBy("n").agg((F.max(square) > 1.001 * F.min(square)).alias("exact"))
+    facts = scratch(facts, "lengths")
+    hashing = distinct.join(F.broadcast(facts.filter("not exact").select("n")), "n", "left_semi")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _prepared(batch, width, longest)
+        for part, x, signs in _padded(batches, tables, seed):
             buckets = np.stack([axis_scores(x, s).argmax(axis=1) for s in signs], axis=1)
-            yield pd.DataFrame({"rep": batch["rep"], "v": batch["v"], "buckets": list(buckets.astype(np.int32))})
+            yield pd.DataFrame({"n": part["n"], "rep": part["rep"], "v": part["v"], "buckets": list(buckets.astype(np.int32))})
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _prepared(batch, width, 0.0)
+        for part, x, signs in _padded(batches, tables, seed):
             best = np.stack([np.argsort(-axis_scores(x, s), axis=1, kind="stable")[:, :probes] for s in signs], axis=1)
-            yield pd.DataFrame({"rep": batch["rep"], "v": batch["v"], "buckets": [list(b) for b in best.astype(np.int32)]})
+            yield pd.DataFrame({"n": part["n"], "rep": part["rep"], "v": part["v"], "buckets": [list(b) for b in best.astype(np.int32)]})
 
     element = "float" if dict(rows.dtypes)["v"] == "array<float>" else "double"
-    index = distinct.select("rep", "v").mapInPandas(hashed, f"rep long, v array<{element}>, buckets array<int>")
-    index = index.select("rep", "v", F.posexplode("buckets").alias("table", "bucket"))
-    probe = distinct.filter("asks").select("rep", "v").mapInPandas(asked, f"rep long, v array<{element}>, buckets array<array<int>>")
-    probe = probe.select("rep", "v", F.posexplode("buckets").alias("table", "some")).select("rep", "v", "table", F.explode("some").alias("bucket"))
-    index = scratch(index, "vector-index")
-    zoned = lambda df: df.withColumn("zone", F.floor(F.col("bucket") / ZONE_BUCKETS).cast("int"))
-    index, probe = zoned(index), zoned(probe)
-    in_blocks = lambda df, name: df.groupBy("table", "zone").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
-    grid = in_blocks(index, "blocks").join(in_blocks(probe, "parts"), ["table", "zone"])
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = index.join(grid, ["table", "zone"]).withColumn("block", own("blocks")).withColumn("part", each("parts"))
-    probe = probe.join(grid, ["table", "zone"]).withColumn("part", own("parts")).withColumn("block", each("blocks"))
-
-    def rerank(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"q": np.empty(0, np.int64), "c": np.empty(0, np.int64), "score": np.empty(0)})]
-        held = {bucket: rows.sort_values("rep") for bucket, rows in held.groupby("bucket")}
-        for bucket, some in asking.groupby("bucket"):
-            if bucket not in held:
-                continue
-            c, reps = np.stack(held[bucket]["v"].to_numpy()).astype(np.float64), held[bucket]["rep"].to_numpy()
-            for start in range(0, len(some), 256):
-                part = some.iloc[start : start + 256]
-                scores = np.einsum("qd,cd->qc", np.stack(part["v"].to_numpy()).astype(np.float64), c)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-                columns = {"q": np.repeat(part["rep"].to_numpy(), top.shape[1]), "c": reps[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()}
-                out.append(pd.DataFrame(columns))
-        return pd.concat(out)
-
-    key, held_columns = ["table", "zone", "block", "part"], ["bucket", "rep", "v"]
-    asking, held = probe.select(*key, *held_columns).groupBy(*key), index.select(*key, *held_columns).groupBy(*key)
-    found = asking.cogroup(held).applyInPandas(rerank, "q long, c long, score double")
-    found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
-    found = scratch(found.withColumn("place", best).filter(F.col("place") <= k + 1).select("q", "c", "score"), "found")
-
-    names = distinct.select("rep", "k1", "k2")
-    members = ids.join(names, ["k1", "k2"]).select(F.col("rep").alias("c"), "vec_id")
-    expanded = found.join(members, "c").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")))
-    expanded = expanded.filter(F.col("place") <= k + 1).select("q", "vec_id", "score")
-    asked_by = queries.join(names, ["k1", "k2"]).select("query_id", F.col("rep").alias("q"))
-    answers = asked_by.join(expanded, "q").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    index = hashing.select("n", "rep", "v").mapInPandas(hashed, f"n int, rep long, v array<{element}>, buckets array<int>")
+    index = scratch(index.select("n", "rep", "v", F.posexplode("buckets").alias("table", "bucket")), "vector-index")
+    probe = hashing.filter("asks").select("n", "rep", "v").mapInPandas(asked, f"n int, rep long, v array<{element}>, buckets array<array<int>>")
+    probe = probe.select("n", "rep", "v", F.posexplode("buckets").alias("table", "some")).select("n", "rep", "v", "table", F.explode("some").alias("bucket"))
+    found = scratch(_best(_compared(probe, index, k + 1, _in_blocks(BLOCK_ROWS)), k + 1), "found")
+
+    names = distinct.select("n", "rep", "k1", "k2")
+    members = ids.join(names, ["n", "k1", "k2"]).select("n", F.col("rep").alias("c"), "vec_id")
+    open_ = distinct.filter("asks").select("n", "rep", "v").join(F.broadcast(facts), "n").filter("exact")
+    open_ = scratch(open_.select("n", "rep", "v"), "open-queries")
+    if not open_.isEmpty():
+        flat = lambda df: df.select("n", F.lit(0).alias("table"), F.lit(0).alias("bucket"), "rep", "v")
+        blocks = F.greatest(_in_blocks(BLOCK_ROWS), F.least(_in_blocks(SPREAD_ROWS), F.lit(SPREAD)))
+        found = scratch(_best(found.union(_compared(flat(open_), flat(distinct), k + 1, blocks)), k + 1), "found")
+
+    expanded = found.join(members, ["n", "c"]).withColumn("place", F.row_number().over(Window.partitionBy("n", "q").orderBy(F.desc("score"), "vec_id")))
+    expanded = expanded.filter(F.col("place") <= k + 1).select("n", "q", "vec_id", "score")
+    asked_by = queries.join(names, ["n", "k1", "k2"]).select("query_id", "n", F.col("rep").alias("q"))
+    answers = asked_by.join(expanded, ["n", "q"]).filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answers.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
