@@ -5,7 +5,8 @@ vector; its bucket in a table is the signed axis nearest to the turned vector. E
 several tables has its own rotation. A query probes its best few axes in every table, and
 all vectors in those buckets are reranked by the exact inner product in double precision.
 Buckets follow directions, so where norms differ they don't lead to the largest inner
-products, and every query is compared with all vectors instead, block by block.
+products, and every query is compared with all vectors instead, block by block. So are
+all queries of a small table, and those whose probes reach too few vectors.
 
 Equal vectors are indexed once, with the few smallest ids that can matter, and large
 buckets are dealt out in blocks of bounded size, so neither a common vector nor a common
@@ -26,6 +27,8 @@ from chimerascope.llm.shared import scratch
 #: Neighbouring buckets that one task takes together, and the most of their vectors that it takes on either side.
 ZONE_BUCKETS = 16
 BLOCK_ROWS = 8192
+#: So many vectors, or fewer, aren't hashed.
+EXACT_ROWS = 8192
 #: A smaller set of vectors is dealt out in up to SPREAD blocks of SPREAD_ROWS when queries are compared with all of it.
 SPREAD, SPREAD_ROWS = 64, 512
 
@@ -118,12 +121,13 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
     Nearness is the largest inner product on the original vectors; ties go to the smaller
     id, and a query never finds its own id. Vectors (vec_id, embedding) that are null,
     zero, empty, or hold null or non-finite components take no part, nor do null ids; a
-    query finds fewer than k only where there are fewer or its probes reach fewer.
+    query finds fewer than k only where there are fewer.
     Repeated rows are found once. An empty table gives no rows; other columns are left
     out. Vectors shorter than the longest array take no part.
 
-    If the vectors' norms differ, every query is compared with all vectors. So the
-    answer is exact, and the work is queries times vectors.
+    If the vectors' norms differ, or there are EXACT_ROWS at most, every query is
+    compared with all vectors; else those are whose probes reach fewer than there are to
+    find. So these answers are exact, and the work is such queries times vectors.
     """
     rows = scratch(usable(vectors), "vectors")
     longest = rows.agg(F.max("n")).first()[0]
@@ -141,8 +145,9 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
 
     # One row a length: a table of vectors has few, since it takes the square of their number in components to have more.
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    facts = distinct.groupBy("n").agg((F.max(square) > 1.001 * F.min(square)).alias("exact"))
-    facts = scratch(facts, "lengths")
+    facts = distinct.groupBy("n").agg(((F.max(square) > 1.001 * F.min(square)) | (F.count("*") <= EXACT_ROWS)).alias("exact"))
+    there = ids.select("n", "vec_id").distinct().groupBy("n").agg(F.least(F.count("*"), F.lit(k + 1)).alias("there"))
+    facts = scratch(facts.join(there, "n"), "lengths")
     hashing = distinct.join(F.broadcast(facts.filter("not exact").select("n")), "n", "left_semi")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,8 +169,9 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
 
     names = distinct.select("n", "rep", "k1", "k2")
     members = ids.join(names, ["n", "k1", "k2"]).select("n", F.col("rep").alias("c"), "vec_id")
-    open_ = distinct.filter("asks").select("n", "rep", "v").join(F.broadcast(facts), "n").filter("exact")
-    open_ = scratch(open_.select("n", "rep", "v"), "open-queries")
+    reached = found.join(members, ["n", "c"]).groupBy("n", F.col("q").alias("rep")).agg(F.size(F.collect_set("vec_id")).alias("reached"))
+    open_ = distinct.filter("asks").select("n", "rep", "v").join(F.broadcast(facts), "n").join(reached, ["n", "rep"], "left")
+    open_ = scratch(open_.filter(F.col("exact") | (F.coalesce("reached", F.lit(0)) < F.col("there"))).select("n", "rep", "v"), "open-queries")
     if not open_.isEmpty():
         flat = lambda df: df.select("n", F.lit(0).alias("table"), F.lit(0).alias("bucket"), "rep", "v")
         blocks = F.greatest(_in_blocks(BLOCK_ROWS), F.least(_in_blocks(SPREAD_ROWS), F.lit(SPREAD)))

@@ -50,3 +50,20 @@ def test_recall_where_norms_differ(spark, hashing, name):
     reached = recall(spark, x * scale[:, None])
     print(f"recall {name} {reached:.3f}")
     assert reached >= 0.9
+
+
+@pytest.mark.parametrize("n", [10, 21, 60])
+def test_small_tables_give_every_neighbour(spark, n):
+    x = unit(n)
+    got = found(spark, x)
+    print(f"found {n}: {[len(v) for v in got.values()]}")
+    assert got == {q: best(x, q) for q in got}
+
+
+def test_opposed_vectors_are_neighbours_too(spark, hashing):
+    x = unit(25)
+    x = np.concatenate([x, -np.tile(x[:1], (200, 1)) + 1e-3 * unit(200, seed=9)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = found(spark, x)
+    print(f"opposed: {[len(v) for v in got.values()]}")
+    assert all(len(v) == 20 for v in got.values()) and got[0] == best(x, 0)
