@@ -123,17 +123,15 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
     zero, empty, or hold null or non-finite components take no part, nor do null ids; a
     query finds fewer than k only where there are fewer.
     Repeated rows are found once. An empty table gives no rows; other columns are left
-    out. Vectors shorter than the longest array take no part.
+    out. Vectors are compared with those of their own length only.
 
-    If the vectors' norms differ, or there are EXACT_ROWS at most, every query is
+    If the norms of a length differ, or it has EXACT_ROWS vectors at most, every query is
     compared with all vectors; else those are whose probes reach fewer than there are to
     find. So these answers are exact, and the work is such queries times vectors.
     """
     rows = scratch(usable(vectors), "vectors")
-    longest = rows.agg(F.max("n")).first()[0]
-    if longest is None:
+    if rows.isEmpty():
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.col("n") == longest)
 
     by_id = Window.partitionBy("n", "k1", "k2").orderBy("vec_id")
     ids = rows.select("n", "vec_id", "k1", "k2").distinct().withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= k + 1)

@@ -67,3 +67,19 @@ def test_opposed_vectors_are_neighbours_too(spark, hashing):
     got = found(spark, x)
     print(f"opposed: {[len(v) for v in got.values()]}")
     assert all(len(v) == 20 for v in got.values()) and got[0] == best(x, 0)
+
+
+def test_rows_of_other_lengths_keep_their_neighbours(spark):
+    vectors = [*unit(100), *unit(1, 65), *unit(41, 33)]
+    got = found(spark, vectors)
+    print(f"lengths: {[len(v) for v in got.values()]}")
+    assert got[100] == [] and all(len(v) == 20 for q, v in got.items() if q != 100)
+    assert all(len(vectors[i]) == len(vectors[q]) for q, v in got.items() for i in v)
+
+
+def test_lengths_are_hashed_apart(spark, hashing):
+    vectors = [*unit(300), *unit(100, 33), 2 * unit(1, 65)[0], *unit(99, 65)]
+    got = found(spark, vectors)
+    assert all(len(v) == 20 for v in got.values())
+    assert all(len(vectors[i]) == len(vectors[q]) for q, v in got.items() for i in v)
+    assert all(got[q] == best(vectors, q) for q in got if len(vectors[q]) == 65)
