@@ -18,17 +18,23 @@ KINDS = ("assign", "access", "hex", "private_key", "github", "slack", "google",
 
 _WORDS = "(?i:password|passwd|secret|token|api_?key)"
 _ASSIGN = _WORDS + "[\"']?\\x20*+[:=]\\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
+# A key reaches to its END line, unless another key or no END line follows; then it is the header and base64 lines, or long base64 words, that come next.
+_OF_KEY = "[A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+_TO_END = "[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END " + _OF_KEY
+_BREAK = "(?:[\\x20\\t\\r\\n]|\\\\[rn])*+"
+_KEY_LINE = "(?:[A-Za-z][A-Za-z0-9-]*+:[\\x20\\t][^\\r\\n\\\\]*+|[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/=]++(?=[\\x20\\t]*+(?:[\\r\\n\\\\\"']|\\z)))"
+_PRIVATE_KEY = f"-----BEGIN {_OF_KEY}(?:{_TO_END}|(?:{_BREAK}{_KEY_LINE})*+)"
 _RULES = (
-    ("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{0,10000}+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?", "-----BEGIN"),
+    ("private_key", _PRIVATE_KEY, "-----BEGIN"),
     ("github", "(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{40,}+)", "gh|git"),
     ("slack", "xox[abeoprs]-[A-Za-z0-9-]{10,}+", "xox"),
     ("google", "(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", "AIza"),
     ("jwt", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\\.eyJ[A-Za-z0-9_-]{10,}+\\.[A-Za-z0-9_-]{10,}+", "eyJ"),
     ("bearer", "(?<![A-Za-z])[Bb]earer\\x20++[A-Za-z0-9._~+/-]{20,}+=*+", "earer"),
-    ("url_password", "(?<![a-z])[a-z]{3,12}://[^\\x00-\\x20/:@]{1,64}+:[^\\x00-\\x20/:@]{3,128}+@", "://"),
+    ("url_password", "(?<![a-z])[a-z]{3,12}://[^\\x00-\\x20/:@]++:[^\\x00-\\x20/:@]{3,}+@", "://"),
 )
 #: Changes with the rules; blobs scanned under another version are scanned again.
-RULE_VERSION = "2024-1"
+RULE_VERSION = "2024-2"
 
 
 def _contains_any(text: Column, gate: str) -> Column:
