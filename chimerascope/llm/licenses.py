@@ -28,6 +28,9 @@ _GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 
+# Runs of whitespace other than a single space. They are made one character, or two where lines are left blank, so that a line break stays known.
+_WIDE = re.compile(rb"[\x09-\x0d\x20]*[\x09-\x0d][\x09-\x0d\x20]*|\x20{2,}")
+
 # Families, by hand: label, how its name is written, the keyword that gates its rules, and its versions.
 _FAMILIES = (
     ("apache", r"apache(?: software)? licen[sc]e", "apache", ("1.0", "1.1", "2.0")),
@@ -73,22 +76,22 @@ _FAMILIES = (
     ("vim", r"vim licen[sc]e", "vim", ()),
     ("w3c", r"w3c(?: software)?(?: notice and)? licen[sc]e", "w3c", ()),
     ("0bsd", r"(?:0bsd|zero[ -]clause bsd)(?: licen[sc]e)?", "bsd", ()),
-    ("cc-by-nc-nd", r"(?:creative commons |cc )(?:by[ -]nc[ -]nd|attribution[ -]non-?commercial[ -]no-?deriv[a-z]+)", "cc by|cc-by|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", r"(?:creative commons |cc )(?:by[ -]nc[ -]sa|attribution[ -]non-?commercial[ -]share-?alike)", "cc by|cc-by|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", r"(?:creative commons |cc )(?:by[ -]nc|attribution[ -]non-?commercial)(?![ -](?:sa|nd|share|no))", "cc by|cc-by|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", r"(?:creative commons |cc )(?:by[ -]nd|attribution[ -]no-?deriv[a-z]+)", "cc by|cc-by|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", r"(?:creative commons |cc )(?:by[ -]sa|attribution[ -]share-?alike)", "cc by|cc-by|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by", r"(?:creative commons |cc )(?:by|attribution)(?![ -](?:n[cd]|sa|non|no|share))", "cc by|cc-by|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-nd", r"(?:creative commons |cc[ -])(?:by[ -]nc[ -]nd|attribution[ -]non-?commercial[ -]no-?deriv[a-z]+)", "cc by|cc-by|cc attr|cc-attr|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-sa", r"(?:creative commons |cc[ -])(?:by[ -]nc[ -]sa|attribution[ -]non-?commercial[ -]share-?alike)", "cc by|cc-by|cc attr|cc-attr|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc", r"(?:creative commons |cc[ -])(?:by[ -]nc|attribution[ -]non-?commercial)(?![ -](?:sa|nd|share|no))", "cc by|cc-by|cc attr|cc-attr|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nd", r"(?:creative commons |cc[ -])(?:by[ -]nd|attribution[ -]no-?deriv[a-z]+)", "cc by|cc-by|cc attr|cc-attr|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-sa", r"(?:creative commons |cc[ -])(?:by[ -]sa|attribution[ -]share-?alike)", "cc by|cc-by|cc attr|cc-attr|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by", r"(?:creative commons |cc[ -])(?:by|attribution)(?![ -](?:n[cd]|sa|non|no|share))", "cc by|cc-by|cc attr|cc-attr|creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc0", r"(?:creative commons zero|cc0)(?: public domain dedication)?", "cc0|commons zero", ("1.0",)),
     ("public-domain", r"(?:dedicated to|placed in|released (?:in|into)) the public domain|public domain dedication", "public domain", ()),
     ("proprietary", r"proprietary and confidential|unauthori[sz]ed (?:copying|use|reproduction)", "proprietary|unauthori", ()),
     ("reserved", r"all rights reserved", "rights reserved", ()),
 )
 
-# How a licence is granted: form, what it adds to the priority, and how sure it is.
+# A space in names and forms is a space or a line break; versions that follow a line break need the word. How a licence is granted: form, what it adds to the priority, and how sure it is.
 _FORMS = (
-    ("tag", r"spdx-license-identifier: *{id}(?![0-9a-z.-])", 40, 1.0),
-    ("versioned", r"(?:{name})(?:,? *\(?(?:version|ver\.?|v\.?)? *){version}(?![0-9])", 30, 0.95),
+    ("tag", r"spdx-license-identifier:\x20?{id}(?![0-9a-z.-])", 40, 1.0),
+    ("versioned", r"(?:{name})(?:,?(?: ?\(?(?:version|ver\.?|v\.?) ?|\x20?\(?\x20?)){version}(?![0-9])", 30, 0.95),
     ("notice", r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{name})", 20, 0.9),
     ("mention", r"(?<![0-9a-z])(?:{name})(?![0-9a-z])", 10, 0.6),
 )
@@ -104,6 +107,14 @@ class Rule:
     pattern: re.Pattern
 
 
+def _narrow(text: bytes) -> bytes:
+    return _WIDE.sub(lambda m: (b" ", b"\n", b"\n\n")[min(m[0].count(b"\n") or m[0].count(b"\r"), 2)], text)
+
+
+def _breakable(pattern: str) -> str:
+    return r"[ \n-]".join(part.replace(" ", r"[ \n]") for part in pattern.split("[ -]"))
+
+
 def signature_rules() -> list[Rule]:
     """Every form of every family, and of each of its versions; highest priority first, then in the order above."""
     rules = []
@@ -114,7 +125,7 @@ def signature_rules() -> list[Rule]:
                 full = f"{label}-{version}" if version else label
                 short = version.removesuffix(".0")
                 wide = re.escape(version) if short == version else f"{re.escape(short)}(?:\\.0)?"
-                source = shape.format(name=name, version=wide, id=re.escape(full) + ("(?:-only|-or-later)?" if version else ""))
+                source = _breakable(shape).format(name=_breakable(name), version=wide, id=re.escape(full) + ("(?:-only|-or-later)?" if version else ""))
                 gates = (b"spdx-license-identifier",) if form == "tag" else keywords
                 rules.append(Rule(full if form in ("tag", "versioned") else label, form, priority, sureness, gates, re.compile(source.encode())))
     return sorted(rules, key=lambda r: -r.priority)
@@ -148,8 +159,10 @@ class Scanner:
         self.anchors = (b"cc", b"public", b"rights")
 
     def detections(self, text: bytes) -> list[tuple[int, int, Rule]]:
-        """Resolved detections in a lower-cased text. Equal spans of one label count once."""
-        there = {k for k in self.keywords if k in text}
+        """Resolved detections in a lower-cased text, placed in its narrowed form. Equal spans of one label count once."""
+        text = _narrow(text)
+        flat = text.replace(b"\n", b" ")
+        there = {k for k in self.keywords if k in flat}
         if not there:
             return []
         found = {}
