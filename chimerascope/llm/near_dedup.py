@@ -1,14 +1,14 @@
 """Near-duplicate groups by one-permutation MinHash with optimal densification.
 
-Each document's shingle hashes are split by their top bits into bins and every bin
-keeps its smallest hash; an empty bin borrows from a bin found by a fixed random
-probe sequence (optimal densification). Bands of bins become bucket keys. Every
-bucket proposes a star: its most central document against each other member. Proposed
-pairs are confirmed on the full shingle sets, confirmed links become components,
-and a bucket whose members still lie in more than one component proposes further
-stars from its next members, until no bucket is open; shingles that few documents have
-tell beforehand which of these pairs can't be links. So the pairs stay near-linear in
-the bucket sizes, and a pair that shares a bucket isn't lost when it fails against a hub.
+Documents with equal shingle sets are one set from the start. Each set's hashes are split
+by their top bits into bins and every bin keeps its smallest hash; an empty bin borrows
+from a bin found by a fixed random probe sequence (optimal densification). Bands of bins
+become bucket keys. Every bucket proposes a star: its most central set against each other
+member. Proposed pairs are confirmed on the full sets, confirmed links become components.
+A bucket whose members still lie in more than one component is settled by exact filters:
+shingles that are rare among the bucket's family pair what shares them and bound what
+doesn't, a parity bitmap bounds every pair from the other side, and further stars compare
+what neither rules out, until no bucket is open.
 """
 
 from __future__ import annotations
@@ -18,21 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chimerascope.llm.shared import all_columns, scratch, shingle_set, utf8_views
+from chimerascope.llm.shared import WORD, all_columns, scratch, shingle_set, utf8_views
 
-#: Rows without a doc_id get a stand-in above this value, from a hash of their text.
-STAND_IN = 1 << 62
-#: A shingle that so many open documents have at most is rare.
+#: A shingle that so many sets of a family have at most is rare.
 RARE = 100
-
-
-def node_id(df: DataFrame) -> DataFrame:
-    """(node, text): doc_id, or a stand-in made from the text where it is null."""
-    stand_in = F.lit(STAND_IN) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
-    return df.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("node"), "text")
+#: A set's parity bitmap: so many words of 64 bits.
+BIT_WORDS = 4
+#: So many members of a bucket are compared with its hubs by one task.
+SLICE_ROWS = 50_000
+#: Hubs of an open bucket in the first round after the filters; so many times as many in each further one.
+HUBS = 64
+_BITS = [f"bits{i}" for i in range(BIT_WORDS)]
 
 
 def _probes(bins: int) -> np.ndarray:
@@ -66,35 +65,65 @@ def _band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of the bitmap whether an odd number of hashes fall on it. Two sets differ in at least as many hashes as their bitmaps in bits."""
+    odd = np.bincount((hashes & np.uint64(64 * BIT_WORDS - 1)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def sketches(docs: DataFrame, *, shingle: int, bins: int, rows: int) -> DataFrame:
-    """(node, n_shingles, digest, keys): set size, digest of the full set, and the bucket key of each band."""
+    """(doc_id, n_shingles, digest, keys, bits0, ...) of every document: set size, digest of the full set, the bucket key of each band, parity bitmap."""
     bands, probes = bins // rows, _probes(bins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, bits = [], [], [], []
             for raw in utf8_views(batch.column(1)):
                 own = shingle_set(raw, shingle)
                 sizes.append(len(own))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                digests.append(_digest(own))
                 keys.append(_band_keys(one_permutation(own, probes), bands, rows) if len(own) else None)
+                bits.append(_parity(own))
+            words = np.array(bits).reshape(-1, BIT_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["node", "n_shingles", "digest", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, words.T)],
+                names=["doc_id", "n_shingles", "digest", "keys", *_BITS],
             )
 
-    return node_id(docs).mapInArrow(run, "node long, n_shingles long, digest binary, keys array<long>")
+    return _id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, " + ", ".join(f"{b} long" for b in _BITS))
+
 
+def _id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-def _member_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, members): the full shingle set, as bytes, of each text of the given nodes."""
+
+def _member_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, members) for each row (node, digest, low) of wanted: its full shingle set, as bytes, from a text of a document whose id is low."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([shingle_set(raw, shingle).tobytes() for raw in utf8_views(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "members"])
+            sets = [shingle_set(raw, shingle) for raw in utf8_views(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["digest", "members"])
+
+    lows = wanted.select("low").distinct()
+    texts = _id_and_text(docs).join(lows, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text")
+    found = texts.mapInArrow(run, "digest binary, members binary").join(wanted.select("node", "digest"), "digest")
+    return found.groupBy("node").agg(F.first("members").alias("members"))
 
-    return node_id(docs).join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, members binary")
+
+def _able(one: str, other: str, percent: int, *, bounded: bool = True) -> Column:
+    """Whether two sets may be linked by their sizes, bitmaps and, if bounded, the shingles that each may share: columns n_shingles, bits0, ..., reach after a prefix."""
+    n, m = F.col(f"{one}n_shingles"), F.col(f"{other}n_shingles")
+    able = (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    apart = sum((F.bit_count(F.col(one + b).bitwiseXOR(F.col(other + b))) for b in _BITS), F.lit(0))
+    able &= apart * (100 + percent) <= (n + m) * (100 - percent)
+    if bounded:
+        able &= F.least(f"{one}reach", f"{other}reach") * (100 + percent) >= (n + m) * percent
+    return able
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -114,39 +143,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [linked(x.copy(), y.copy()) for x, y in zip(utf8_views(batch.column(2)), utf8_views(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
+
 
+def _rare_shingles(sets: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What rare shingles tell of the members (bucket, node, component, n_shingles, bits) of open buckets.
 
-def _rare_shingles(sets: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, rare): how many of a node's shingles at most RARE of the given nodes have, and pairs (a, b) of nodes of different components that share such a shingle.
+    (node, rare): how many of a node's shingles at most RARE nodes of its family have; and
+    pairs (a, b) of different components that share such a shingle. A family is what
+    open buckets connect, so all pairs still to be judged lie within one.
 
     Two sets that share no rare shingle can't share more than either has of the others.
     Two linked sets that share one share one among the rarest shingles of each, as many as
     a linked set may lack and one more (prefix filtering); so only those are paired, and
-    the pairs are at most RARE for each. Nodes of several texts pair by all rare shingles
-    and have no bound.
+    the pairs are at most RARE for each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, raw in zip(batch.column(0).to_pylist(), utf8_views(batch.column(1)), strict=True):
-                shingles = raw.copy().view(np.int64)
-                own = [pa.array(np.full(len(shingles), x)) for x in (node, len(shingles))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(shingles)], names=["node", "size", "shingle"])
-
-    held = sets.join(nodes, "node", "left_semi")
-    several = held.groupBy("node").agg((F.count("*") > 1).alias("several"))
-    spread = held.select("node", "members").mapInArrow(run, "node long, size long, shingle long").dropDuplicates(["node", "shingle"])
-    counts = spread.groupBy("shingle").agg(F.count("*").alias("nodes")).filter(F.col("nodes") <= RARE)
-    rare = spread.join(counts, "shingle").join(several, "node")
+            own = [raw.view(np.int64) for raw in map(np.copy, utf8_views(batch.column(1)))]
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *own]))], names=["node", "shingle"])
+
+    first = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    families = components(members.join(first, "bucket").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "family")
+    spread = sets.join(families, "node", "left_semi").mapInArrow(run, "node long, shingle long").join(families, "node")
+    counts = spread.groupBy("family", "shingle").agg(F.count("*").alias("nodes")).filter(F.col("nodes") <= RARE)
     place = F.row_number().over(Window.partitionBy("node").orderBy("nodes", "shingle"))
-    rare = scratch(rare.withColumn("place", place).select("node", "size", "shingle", "nodes", "place", "several"), "rare")
-    bounds = rare.filter("not several").groupBy("node").agg(F.max("place").alias("rare"))
-    first = rare.filter((F.col("nodes") > 1) & (F.col("several") | (F.col("place") <= F.floor(F.col("size") * (100 - percent) / 100) + 1))).select("shingle", "node")
-    first = scratch(_with_component(first, groups, "node", "component"), "rarest")
-    one, other = (first.select("shingle", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in ("a", "b"))
-    pairs = one.join(other, "shingle").filter("a < b and ca != cb").select("a", "b").distinct()
-    return bounds, pairs
+    rare = scratch(spread.join(counts, ["family", "shingle"]).withColumn("place", place).select("node", "family", "shingle", "nodes", "place"), "rare")
+    bounds = rare.groupBy("node").agg(F.max("place").alias("rare"))
+    known = members.select("node", "component", "n_shingles", *_BITS).distinct()
+    prefix = rare.filter("nodes > 1").join(known, "node").filter(F.col("place") <= F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1)
+    prefix = scratch(prefix.drop("nodes", "place"), "rarest")
+    one, other = (prefix.select("family", "shingle", *[F.col(c).alias(side + c) for c in ("node", "component", "n_shingles", *_BITS)]) for side in ("one_", "other_"))
+    apart = (F.col("one_node") < F.col("other_node")) & (F.col("one_component") != F.col("other_component"))
+    met = (one["family"] == other["family"]) & (one["shingle"] == other["shingle"]) & apart & _able("one_", "other_", percent, bounded=False)
+    return bounds, one.join(other, met).select(F.col("one_node").alias("a"), F.col("other_node").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -180,88 +212,153 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return scratch(nodes.join(met, "component", "left").select("node", F.least("component", F.coalesce("lower", "component")).alias("component")), "groups")
 
 
-def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bins: int = 256, rows: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Sketches of docs and the components of their links.
+def _open(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Those of the bucket members rows that may still be linked with a member of another component, with their component; rows may have a reach.
 
-    Each round a bucket proposes the stars of its most central members left (those that
-    share the most buckets with others), one of them at first and sixteen times as many
-    each further round, against all other members in other components; members that were
-    hubs leave the bucket. A bucket is closed when its
-    members left lie in one component. After the first round the members left are also
-    compared by their rare shingles: those that share one are paired at once, and all
-    other pairs are bounded by what they have besides, which rules out most pairs of a
-    large family, and many of its members, without looking at them.
+    A member goes where its reach is too short for the smallest set of the bucket, and all
+    members go where they lie in one component.
     """
-    table = scratch(sketches(docs, shingle=shingle, bins=bins, rows=rows), "sketches")
-    some = table.filter("digest is not null")
-    alike = some.groupBy("digest").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    copies = scratch(some.select("node", "digest").join(alike, "digest").filter("node != a").select("a", F.col("node").alias("b")).distinct(), "copies")
-    single = some.join(copies.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
-    member = single.select("node", F.explode("keys").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("near")).filter("low < high").select("bucket", "near")
-    sized = single.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    left = scratch(member.join(shared, "bucket").distinct(), "members")
-    met = left.groupBy("node").agg(F.sum("near").alias("near"))
-    left = scratch(left.drop("near").join(met, "node").join(sized, "node").withColumns({"component": F.col("node"), "reach": F.col("most")}), "members")
-    sets = scratch(_member_sets(docs, left.select("node").distinct(), shingle), "sets")
-    groups, hubs = components(copies), 1
-    by_node = Window.partitionBy("bucket").orderBy(F.desc("near"), "node")
+    rows = _with_component(rows, groups, "node", "component")
+    if "reach" in rows.columns:
+        least = rows.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
+        partner = F.greatest(F.col("least") * 100, F.col("n_shingles") * percent)
+        rows = rows.join(least, "bucket").filter(F.col("reach") * (100 + percent) * 100 >= (F.col("n_shingles") * 100 + partner) * percent).drop("least")
+    ends = (F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("crowd"))
+    still = rows.groupBy("bucket").agg(*ends).filter("low < high").select("bucket", "crowd")
+    return scratch(rows.join(still, "bucket"), "members")
+
+
+def _outlying(left: DataFrame, hubs: int) -> DataFrame:
+    """Up to hubs members of each bucket that lie outside its largest component, the most central first."""
+    parts = left.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("near"), "node"))
+    return left.join(largest, "bucket").filter("component != largest").withColumn("place", place).filter(F.col("place") <= hubs)
+
+
+def _stars(members: DataFrame, hubs: DataFrame, able: Column) -> DataFrame:
+    """Members with the hubs of their bucket, as able allows. A bucket's members (crowd of them) are dealt out in slices, and its hubs repeated for each."""
+    slices = F.ceil(F.col("crowd") / SLICE_ROWS).cast("int")
+    dealt = members.withColumn("slice", F.pmod(F.xxhash64("node"), slices).cast("int")).drop("crowd")
+    repeated = hubs.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("crowd")
+    return dealt.join(repeated, ["bucket", "slice"]).filter(able)
+
+
+def distinct_sets(table: DataFrame) -> DataFrame:
+    """One row for each digest of sketches: node (a number of its own), digest, low (the smallest doc_id that has it, null if none has one), n_shingles, keys, bits."""
+    sketch = ["n_shingles", "keys", *_BITS]
+    one = table.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first(F.struct(*sketch)).alias("s"))
+    return scratch(one.select(F.monotonically_increasing_id().alias("node"), "digest", "low", "s.*"), "distinct-sets")
+
+
+def link_sets(docs: DataFrame, distinct: DataFrame, groups: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of the sets of distinct that are linked with others, or in groups already.
+
+    The first star of a bucket is that of its most central member, which shares the most
+    buckets with others. Where a bucket stays open after the exact filters, the members
+    outside its largest component become hubs, HUBS of them and then many more each
+    round, against all members of other components that the filters leave; former hubs
+    leave the bucket. It is closed when its members left lie in one component.
+    """
+    member = distinct.select("node", F.explode("keys").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    left = scratch(member.join(shared, "bucket"), "members")
+    met = left.groupBy("node").agg(F.sum("crowd").alias("near")).join(distinct.select("node", "n_shingles", *_BITS), "node")
+    left = scratch(left.join(met, "node"), "members")
+    sets = scratch(_member_sets(docs, distinct.join(left.select("node").distinct(), "node", "left_semi"), shingle), "sets")
+
+    at = ["node", "n_shingles", *_BITS]
+    hub = left.groupBy("bucket", "crowd").agg(F.max_by(F.struct(*at), F.struct("near", -F.col("node"))).alias("hub"))
+    hub = hub.select("bucket", "crowd", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in at])
+    stars = _stars(left, hub, (F.col("node") != F.col("hub_node")) & _able("", "hub_", percent, bounded=False))
+    groups = _merged(groups, _judged(stars, sets, percent))
+    left = _open(left.drop("crowd"), groups, percent)
+    if left.isEmpty():
+        return groups
+
+    bounds, pairs = _rare_shingles(sets, left, percent)
+    groups = _merged(groups, scratch(_confirmed(scratch(pairs, "pairs"), sets, percent), "confirmed"))
+    reach = F.col("n_shingles") - F.coalesce("rare", F.lit(0))
+    left, hubs = _open(left.drop("component", "crowd").join(bounds, "node", "left").withColumn("reach", reach).drop("rare"), groups, percent), HUBS
     while not left.isEmpty():
-        hub = left.withColumn("place", F.row_number().over(by_node)).filter(F.col("place") <= hubs)
-        hub = hub.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "least", "most", "component", "reach")])
-        able = (F.col("most") * 100 >= F.col("hub_least") * percent) & (F.col("hub_most") * 100 >= F.col("least") * percent)
-        able &= F.least("reach", "hub_reach") * (100 + percent) >= (F.col("least") + F.col("hub_least")) * percent
-        stars = left.join(hub, "bucket").filter((F.col("component") != F.col("hub_component")) & able)
-        stars = scratch(stars.select(F.least("hub_node", "node").alias("a"), F.greatest("hub_node", "node").alias("b")).distinct(), "stars")
-        links = scratch(_confirmed(stars, sets, percent), "confirmed")
-        groups = _merged(groups, links)
-        rest = left.select("bucket", "node", "near", "least", "most", "reach").join(hub.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti")
-        if hubs == 1:
-            rest = scratch(rest, "members")
-            bounds, pairs = _rare_shingles(sets, rest.select("node").distinct(), groups, percent)
-            groups = _merged(groups, scratch(_confirmed(scratch(pairs, "stars"), sets, percent), "confirmed"))
-            rest = rest.join(bounds, "node", "left").withColumn("reach", F.col("most") - F.coalesce("rare", F.lit(0))).drop("rare")
-            rest = rest.filter(F.col("reach") * 100 >= F.col("least") * percent)
-        rest = _with_component(rest, groups, "node", "component")
-        still = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        left = scratch(rest.join(still, "bucket"), "members")
-        hubs *= 16
-    return table, groups
+        hub = scratch(_outlying(left, hubs).select("bucket", "crowd", *[F.col(c).alias(f"hub_{c}") for c in (*at, "component", "reach")]), "hubs")
+        stars = _stars(left, hub, (F.col("component") != F.col("hub_component")) & _able("", "hub_", percent))
+        groups = _merged(groups, _judged(stars, sets, percent))
+        was = hub.select("bucket", F.col("hub_node").alias("node"))
+        left, hubs = _open(left.drop("component", "crowd").join(was, ["bucket", "node"], "left_anti"), groups, percent), hubs * HUBS
+    return groups
+
+
+def _judged(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among stars of columns node and hub_node, each pair judged once."""
+    pairs = stars.select(F.least("hub_node", "node").alias("a"), F.greatest("hub_node", "node").alias("b")).distinct()
+    return scratch(_confirmed(scratch(pairs, "stars"), sets, percent), "confirmed")
+
+
+def _no_groups(docs: DataFrame) -> DataFrame:
+    return docs.sparkSession.createDataFrame([], "node long, component long")
+
+
+def _labelled(distinct: DataFrame, groups: DataFrame) -> DataFrame:
+    """(digest, low, component) of every set; a set without links is a component of its own."""
+    return _with_component(distinct.select("node", "digest", "low"), groups, "node", "component").drop("node")
+
+
+def _tied(table: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(node, component) of sets that belong to one doc_id, where rows repeat an id with other texts."""
+    rows = table.filter("doc_id is not null and digest is not null").select("doc_id", "digest")
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").select("doc_id", "low")
+    if (several := scratch(several, "several")).isEmpty():
+        return _no_groups(table)
+    node = lambda name, of: distinct.select(F.col("node").alias(name), F.col("digest").alias(of))
+    ties = rows.join(several, "doc_id").select("low", "digest").distinct().join(node("a", "low"), "low").join(node("b", "digest"), "digest")
+    return components(ties.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bins: int = 256, rows: int = 6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Needs doc_id and text; other columns may be there and are left out. Rows that share a
-    doc_id count as one document with several texts, and lie in one component. A null
-    doc_id never is a component_id unless the component has no other. Null, empty and
-    blank texts have no shingles and are linked with nothing. Repeated rows give
-    repeated result rows, and an empty table an empty result.
+    doc_id count as one document with several texts, and lie in one component; rows
+    without a doc_id are documents of their own. component_id is null only where no
+    document of the component has an id; kept is then true. Null, empty and blank texts
+    have no shingles and are linked with nothing. Repeated rows give repeated result rows,
+    and an empty table an empty result.
 
     With 256 bins in bands of 6, two sets of similarity 0.8 share no bucket with a
     chance of about 3 in a million.
     """
-    table, groups = link_documents(docs, shingle=shingle, percent=percent, bins=bins, rows=rows)
-    real = lambda c: F.when(F.col(c) < F.lit(STAND_IN), F.col(c))
-    return (
-        table.select("node", "n_shingles")
-        .join(groups, "node", "left")
-        .select(real("node").alias("doc_id"), "n_shingles", F.coalesce("component", "node").alias("component"))
-        .select("doc_id", "n_shingles", real("component").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
-
-
-def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each near-duplicate group, all columns as they are.
-
-    The document with the smallest doc_id stays. Of rows that share a doc_id one
-    stays: that with the smallest text. Rows with a null doc_id stay unless their group
-    holds another document or an equal text.
+    table = scratch(sketches(docs, shingle=shingle, bins=bins, rows=rows), "sketches")
+    distinct = distinct_sets(table)
+    label = scratch(_labelled(distinct, link_sets(docs, distinct, _tied(table, distinct), shingle=shingle, percent=percent)), "labels")
+    lowest = label.groupBy("component").agg(F.min("low").alias("component_id"))
+    ids = label.join(lowest, "component").select("digest", "component_id")
+    worded = table.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(ids, "digest").select("doc_id", "n_shingles", "component_id")
+    alone = table.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return worded.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bins: int = 256, rows: int = 6) -> DataFrame:
+    """docs with one row of each group of near-duplicate texts, all columns as they are.
+
+    Of a group the row with the smallest doc_id stays, a null id only where no other is
+    there; of rows that share that id and the set of shingles, the one with the smallest
+    text. Unlike texts under one id are judged each for itself. Rows without words, null
+    texts too, all stay. An empty table stays empty; columns of any name are passed on.
     """
-    _, groups = link_documents(docs, shingle=shingle, percent=percent)
-    stand_in = F.lit(STAND_IN) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
-    gone = groups.filter("component != node").select(F.col("node").alias("__node"))
-    kept = docs.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), stand_in)).join(gone, "__node", "left_anti")
-    one = kept.groupBy("__node").agg(F.min_by(F.struct(*all_columns(docs)), F.coalesce("text", F.lit(""))).alias("row"))
-    return one.select("row.*")
+    table = scratch(sketches(docs, shingle=shingle, bins=bins, rows=rows), "sketches")
+    distinct = distinct_sets(table)
+    label = _labelled(distinct, link_sets(docs, distinct, _no_groups(docs), shingle=shingle, percent=percent))
+    best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "digest")).alias("w")
+    winners = label.groupBy("component").agg(best).select(F.col("w.low").alias("w_id"), F.col("w.digest").alias("w_digest"))
+
+    @F.arrow_udf("binary")
+    def digest_of(texts: pa.Array) -> pa.Array:
+        return pa.array([_digest(shingle_set(raw, shingle)) for raw in utf8_views(texts)], pa.binary())
+
+    has_word = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    row = docs.select(F.col("doc_id").cast("long").alias("w_row_id"), F.col("text").cast("string").alias("w_text"), F.struct(*all_columns(docs)).alias("w_row"))
+    row = row.filter(F.coalesce(F.col("w_text").rlike(WORD), F.lit(False))).withColumn("w_digest", digest_of("w_text"))
+    kept = row.join(winners, "w_digest").filter(F.col("w_row_id").eqNullSafe(F.col("w_id")))
+    one = kept.groupBy("w_digest").agg(F.min_by("w_row", "w_text").alias("w_row"))
+    return one.select("w_row.*").unionAll(docs.filter(~has_word))
