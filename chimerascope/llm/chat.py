@@ -13,28 +13,29 @@ from pyspark.sql import functions as F
 
 from chimerascope.llm.shared import scratch
 
-#: Turn numbers that are ordered together; so a long conversation is spread over tasks.
-BLOCK = 1024
 _PREFIX = ["seq", "h1", "h2"]
 
 
 def rolling_prefixes(turns: DataFrame) -> DataFrame:
-    """Each turn with its place in the conversation (seq, from 1), the number of turns, and a 128-bit hash of the turns up to it.
+    """Each turn with its place in the conversation (seq, from 1), the number of turns, a 128-bit hash of the turns up to it, and the block that it lies in.
 
     The hash of a prefix is the exclusive or of the hashes of its turns and their places,
-    so blocks of a conversation are hashed on their own and then offset by the blocks before.
+    so blocks of a conversation are hashed on their own and then offset by the blocks
+    before. Blocks are ranges of all turns in order, so a conversation of any length,
+    and any number of turns of one number or text, is spread over them.
     """
-    rows = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    order = [F.asc_nulls_first(c) for c in ("turn", "role", "text")]
+    rows = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("tie"))
+    order = [F.asc_nulls_first(c) for c in ("turn", "role", "text", "tie")]
+    ranged = rows.repartitionByRange(F.asc_nulls_first("conv_id"), *order)
+    ranged = scratch(ranged.withColumn("block", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("conv_id", "block").orderBy(*order)
-    before = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("block")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv_id")
-    counts = rows.groupBy("conv_id", "block").agg(F.count("*").alias("here"))
+    counts = ranged.groupBy("conv_id", "block").agg(F.count("*").alias("here"))
     counts = counts.withColumns({"base": F.coalesce(F.sum("here").over(before), F.lit(0)), "n_turns": F.sum("here").over(whole)})
     counts = counts.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "base", "n_turns")
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b"))
-    placed = rows.withColumn("own", F.row_number().over(within)).join(counts, same).withColumn("seq", F.col("base") + F.col("own"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
+    placed = ranged.withColumn("own", F.row_number().over(within)).join(counts, same).withColumn("seq", F.col("base") + F.col("own"))
     parts = ["seq", F.isnull("role"), F.coalesce("role", F.lit("")), F.isnull("text"), F.coalesce("text", F.lit(""))]
     placed = placed.select("conv_id", "block", "seq", "n_turns", "role", "text", *[F.xxhash64(F.lit(k), *parts).alias(f"x{k}") for k in (1, 2)])
     placed = scratch(placed, "turns")
@@ -44,7 +45,7 @@ def rolling_prefixes(turns: DataFrame) -> DataFrame:
     )
     so_far = Window.partitionBy("conv_id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     hashed = placed.withColumns({f"p{k}": F.bit_xor(f"x{k}").over(so_far) for k in (1, 2)}).join(blocks, same)
-    return hashed.select("conv_id", "seq", "n_turns", "role", "text", *[F.col(f"p{k}").bitwiseXOR(F.col(f"o{k}")).alias(f"h{k}") for k in (1, 2)])
+    return hashed.select("conv_id", "block", "seq", "n_turns", "role", "text", *[F.col(f"p{k}").bitwiseXOR(F.col(f"o{k}")).alias(f"h{k}") for k in (1, 2)])
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
@@ -64,10 +65,11 @@ def render_maximal(turns: DataFrame, *, opening: str = "<|{}|>\n", closing: str
     conversations. An empty table gives no rows; other columns are left out.
     """
     prefixes = scratch(rolling_prefixes(turns), "prefixes")
-    kept = maximal(prefixes).withColumnRenamed("conv_id", "c")
+    kept = maximal(prefixes).withColumnRenamed("conv_id", "k")
+    blocks = prefixes.select(F.col("conv_id").alias("c"), F.col("block").alias("b")).distinct().join(kept, F.col("c").eqNullSafe(F.col("k"))).select("c", "b", "copies")
     head, tail = opening.split("{}")
     rendered = F.concat(F.lit(head), F.coalesce("role", F.lit("unknown")), F.lit(tail), F.coalesce("text", F.lit("")), F.lit(closing))
-    rows = prefixes.join(kept, F.col("conv_id").eqNullSafe(F.col("c")))
+    rows = prefixes.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
     return rows.select("conv_id", F.col("seq").cast("long").alias("seq"), F.col("n_turns").cast("long").alias("n_turns"), "copies", rendered.alias("rendered"))
 
 

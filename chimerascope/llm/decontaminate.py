@@ -2,9 +2,12 @@
 
 Items are partitioned by the size of their shingle set. An item's sketch is its smallest
 shingle hashes, so many that one of them must be in any document that contains the wanted
-share of the item; each partition has its own sketch length. Only the short side is
-sketched: documents are probed with all their shingle hashes, whole and however long, so
-that a short item is found at any place. Candidates are verified on exact shingles.
+share of the item; each partition has its own sketch length. Hashes rank within classes
+of how many items have the shingle, rare classes first, so that a phrase which opens all
+items doesn't pair every document with each of them. In effect this is a prefix filter
+over MinHash-ordered items, and it loses nothing. Only the short side is sketched:
+documents are probed with all their shingle hashes, whole and however long, so that a
+short item is found at any place. Candidates are verified on exact shingles.
 """
 
 from __future__ import annotations
@@ -12,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chimerascope.llm.shared import all_columns, scratch
+from chimerascope.llm.shared import all_columns, scratch, unused_name
 
 #: What separates words: ASCII characters other than letters and digits.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Tables of up to so many rows, each of under 100 bytes, are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: A table of fixed-size rows is broadcast where a count and its row size come to so many bytes at most; others are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -40,13 +43,14 @@ def shingle_texts(tokens: Column, width: Column) -> Column:
     )
 
 
-def _small_or_not(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if a count shows that it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small_or_not(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, to be broadcast if the measured bytes of its rows are BROADCAST_BYTES at most."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _digest(text: Column) -> Column:
-    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+    """16 bytes that stand for a text; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256), 1, 32))
 
 
 def sketch_items(benchmark: DataFrame, *, shingle: int, percent: int) -> DataFrame:
@@ -62,7 +66,11 @@ def sketch_items(benchmark: DataFrame, *, shingle: int, percent: int) -> DataFra
     largest = F.pow(F.lit(2), F.floor(F.log2(F.size("shingles").cast("double"))) + 1).cast("long") - 1
     length = (largest * (100 - percent) / 100).cast("int") + 1
     hashes = F.transform("shingles", lambda s: _hash_of_text(s, F.col("width"), shingle))
-    return items.select("item", "width", "shingles", F.slice(F.sort_array(hashes), F.lit(1), length).alias("sketch"))
+    items = scratch(items.select("item", "width", "shingles", hashes.alias("hashes"), length.alias("length")), "item-shingles")
+    spread = items.select("item", "length", F.explode("hashes").alias("hash"))
+    held = spread.groupBy("hash").agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("class"))
+    sketch = spread.join(held, "hash").groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct("class", "hash"))), F.lit(1), F.max("length")).alias("sketch"))
+    return items.join(sketch, "item").select("item", "width", "shingles", F.transform("sketch", lambda x: x["hash"]).alias("sketch"))
 
 
 def _hash_of_text(text: Column, width: Column, widest: int) -> Column:
@@ -73,22 +81,24 @@ def _hash_of_text(text: Column, width: Column, widest: int) -> Column:
     return chosen
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key, item, n_item, n_shared) of each distinct document text that contains an item; docs with their key."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int, percent: int) -> tuple[DataFrame, str, DataFrame]:
+    """docs with a key of their text, that column's name, and (key, item, n_item, n_shared) of each distinct text that contains an item."""
     items = scratch(sketch_items(benchmark, shingle=shingle, percent=percent), "items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
-    keyed = docs.withColumn("__key", _digest(F.col("text")))
-    tokens = keyed.select("__key", words(F.col("text")).alias("tokens"))
+    key = unused_name(docs, "text_key")
+    keyed = docs.withColumn(key, _digest(F.col("text")))
+    tokens = keyed.select(F.col(key).alias("key"), words(F.col("text")).alias("tokens"))
     hashes = F.concat(*[shingle_hashes(F.col("tokens"), w) for w in widths]) if widths else F.array().cast("array<bigint>")
-    probes = tokens.select("__key", F.explode(hashes).alias("hash"))
-    sketch = _small_or_not(items.select("item", F.explode("sketch").alias("hash")))
-    pairs = scratch(probes.join(sketch, "hash").select("__key", "item").distinct(), "candidates")
-    wanted = _small_or_not(pairs.select("__key").distinct())
-    texts = keyed.select("__key", "text").join(wanted, "__key").dropDuplicates(["__key"]).select("__key", words(F.col("text")).alias("tokens"))
-    exact = pairs.join(texts, "__key").join(_small_or_not(items.select("item", "width", "shingles")), "item")
+    probes = tokens.select("key", F.explode(hashes).alias("hash"))
+    sketch = _small_or_not(items.select("item", F.explode("sketch").alias("hash")), F.lit(64))
+    pairs = scratch(probes.join(sketch, "hash").select("key", "item").distinct(), "candidates")
+    wanted = _small_or_not(pairs.select("key").distinct(), F.lit(64))
+    texts = keyed.select(F.col(key).alias("key"), "text").join(wanted, "key").dropDuplicates(["key"]).select("key", words(F.col("text")).alias("tokens"))
+    whole = items.select("item", "width", "shingles")
+    exact = pairs.join(texts, "key").join(_small_or_not(whole, 64 + F.aggregate("shingles", F.lit(0), lambda n, s: n + 64 + F.octet_length(s))), "item")
     shared = F.size(F.array_intersect("shingles", shingle_texts(F.col("tokens"), F.col("width"))))
-    counted = exact.select("__key", "item", F.size("shingles").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
-    return keyed, scratch(counted.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent), "leaks")
+    counted = exact.select("key", "item", F.size("shingles").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
+    return keyed, key, scratch(counted.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent), "leaks")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -99,18 +109,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, perce
     all reported, and so are all ids of an equal document text, a null id as null; repeated
     rows are reported once. Empty tables give no rows; other columns are left out.
     """
-    keyed, leaks = _leaks(docs, benchmark, shingle=shingle, percent=percent)
+    keyed, key, leaks = _leaks(docs, benchmark, shingle=shingle, percent=percent)
     names = benchmark.select("item_id", _digest(F.col("text")).alias("item"))
-    rows = keyed.select("doc_id", "__key").join(leaks, "__key").join(names, "item")
+    rows = keyed.select("doc_id", F.col(key).alias("key")).join(leaks, "key").join(names, "item")
     return rows.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("m")).select(
         "doc_id", "item_id", "m.n_item", "m.n_shared", "m.containment"
     )
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose text contains a benchmark item; all columns, null texts and repeated rows stay."""
-    keyed, leaks = _leaks(docs, benchmark, shingle=shingle, percent=percent)
-    return keyed.join(_small_or_not(leaks.select("__key").distinct()), "__key", "left_anti").select(*all_columns(docs))
+    """docs without the rows whose text contains a benchmark item.
+
+    All columns, of any name, null texts and repeated rows stay; an empty benchmark drops
+    nothing, and an empty table stays empty.
+    """
+    keyed, key, leaks = _leaks(docs, benchmark, shingle=shingle, percent=percent)
+    gone = leaks.select(F.col("key").alias(key)).distinct()
+    return keyed.join(_small_or_not(gone, F.lit(64)), key, "left_anti").select(*all_columns(docs))
 
 
 ORACLE = r"""

@@ -8,6 +8,7 @@ list for an n-gram that the profile lacks. The nearest profile gives the languag
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from chimerascope.llm.shared import remainder, scratch, utf8_views
 
 PROFILE_LENGTH = 300
-#: A table of so many languages at most, a short row each, is broadcast; a larger one is joined by a shuffle.
-BROADCAST_LANGUAGES = 10_000
+#: More languages than this are an error: the profiles, a few kB each, come to the driver and to every task.
+MOST_LANGUAGES = 2_000
 _PIECE = 1 << 20
+_SPACE = re.compile(r"\s")
 _EDGE = 0x5F
 
 
@@ -30,22 +32,32 @@ def letter_table() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """The text in parts that end before whitespace, so no word is cut however long the text."""
+    start = 0
+    while start < len(text):
+        gap = _SPACE.search(text, start + _PIECE)
+        stop = gap.start() if gap else len(text)
+        yield text[start:stop]
+        start = stop
+
+
 def ngram_counts(text: str | None, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the n-grams of one to three letters of a whole text; empty without letters."""
     codes, counts = [], []
-    for start in range(0, len(text or ""), _PIECE):
-        points = np.frombuffer(text[start : start + _PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        points = np.where(letters[points], points, _EDGE)
-        points = np.r_[_EDGE, points, _EDGE]
+    last = np.array([_EDGE])
+    for piece in (*_pieces(text or ""), " "):
+        points = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        points = np.concatenate([last, np.where(letters[points], points, _EDGE)])
         points = points[np.r_[True, (points[1:] != _EDGE) | (points[:-1] != _EDGE)]]
-        if len(points) < 3:
-            continue
-        two = points[:-1] << 21 | points[1:]
-        three = two[:-1] << 21 | points[2:]
-        for grams in (points[points != _EDGE], two | 1 << 62, three):
+        # The one or two points of the piece before only begin n-grams.
+        new, two = points[len(last) :], points[len(last) - 1 : -1] << 21 | points[len(last) :]
+        three = (points[:-2] << 21 | points[1:-1])[max(len(last) - 2, 0) :] << 21 | points[max(len(last), 2) :]
+        for grams in (new[new != _EDGE], two | 1 << 62, three):
             kinds, n = np.unique(grams, return_counts=True)
             codes.append(kinds)
             counts.append(n)
+        last = points[-2:]
     if not codes:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     kinds, back = np.unique(np.concatenate(codes), return_inverse=True)
@@ -82,13 +94,16 @@ def train(docs: DataFrame, *, per_language: int = 2_000, length: int = PROFILE_L
     """Profiles of the non-null languages of docs, learned outside the held-out fold.
 
     Each profile counts the whole texts of about per_language documents (all, where there
-    are fewer), drawn by a hash of doc_id; this bound is the only one.
+    are fewer), drawn by a hash of doc_id. More than MOST_LANGUAGES values of lang
+    are an error. An empty table, or one without languages, gives empty profiles.
     """
     n, fold = held_out
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), n) != fold))
     shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
     shares = scratch(shares, "languages")
-    drawn = usable.join(F.broadcast(shares) if shares.count() <= BROADCAST_LANGUAGES else shares, "lang").filter(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) < F.col("share") * F.lit(float(1 << 53)))
+    if shares.count() > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    drawn = usable.join(F.broadcast(shares), "lang").filter(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) < F.col("share") * F.lit(float(1 << 53)))
     letters = letter_table()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

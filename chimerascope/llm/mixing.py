@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chimerascope.llm.shared import count_words, scratch, utf8_views
+from chimerascope.llm.shared import all_columns, count_words, scratch, unused_name, utf8_views
 
 #: Words that the dynamic programme fits; larger remainders are first lowered with long documents.
 KNAPSACK_WORDS = 1 << 15
@@ -25,20 +25,27 @@ KNAPSACK_WORDS = 1 << 15
 SLICE_ROWS = 10_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of the text, 0 for null."""
+def sizes(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(doc_id, source, size): words of the text, 0 for null; and the column key of docs, as row, where one is named."""
+    row = [F.col(key).cast("long").alias("row")] if key else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = pa.array([count_words(raw) for raw in utf8_views(batch.column(2))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=["doc_id", "source", "size"])
+            columns = [*batch.columns[:2], n, *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "size", "row"][: len(columns)])
 
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return picked.mapInArrow(run, "doc_id long, source string, size long")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), *row)
+    return picked.mapInArrow(run, "doc_id long, source string, size long" + (", row long" if key else ""))
 
 
 def targets(sized: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size, target). The weights repeat over the sources by code point, null last; no target is above most times its source's size, and what is cut is shared out again by weight."""
+    """(source, source_size, target). The weights repeat over the sources by code point, null last; no target is above most times its source's size, and what is cut is shared out again by weight.
+
+    The sources are ranked in one window over one row a source: made for up to some
+    hundred thousand sources. Each sharing-out again caps a source at least, and takes two
+    sums over those rows.
+    """
     dims = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
@@ -117,15 +124,9 @@ def quotas(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return grouped.groupBy("source").applyInPandas(fit, kinds)
 
 
-def mix_counts(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
-
-    Needs doc_id, source and text; other columns are left out. A null source is a source
-    of its own, last in order; a null or blank text has size 0 and is taken with none.
-    Documents of equal size and source are chosen by a hash of seed and doc_id, so reruns
-    agree; of repeated rows it doesn't matter which. An empty table gives no rows.
-    """
-    sized = scratch(sizes(docs), "mix-sizes")
+def _counted(sized: DataFrame, *, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
+    """sized with source_size, target, copies and taken."""
+    own = sized.columns
     quota = scratch(quotas(sized, targets(sized, weights=weights, share=share, most=most)), "mix-quotas")
     key = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 63) - 1))
     slices = F.ceil(F.col("n") / SLICE_ROWS)
@@ -142,14 +143,34 @@ def mix_counts(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share:
         .withColumn("before", F.sum("here").over(Window.partitionBy("source", "size").orderBy("slice")) - F.col("here"))
         .select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("slice").alias("b_slice"), "before")
     )
-    placed = rows.repartition("source", "size", "slice").withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("order", "doc_id")))
+    order = ["order", "doc_id", *[c for c in own if c == "row"]]
+    placed = rows.repartition("source", "size", "slice").withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy(*order)))
     placed = placed.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("slice") == F.col("b_slice")), "left")
     copies = F.col("passes") + F.when(F.col("place") + F.coalesce("before", F.lit(0)) <= F.col("extra"), 1).otherwise(0)
-    return placed.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return placed.withColumn("copies", copies.cast("long")).select(*own, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
 
+def mix_counts(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
-def mixture(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each document's columns, as often as the mix takes it, with its copy number. Rows that share a doc_id are repeated as the first of them; texts without words aren't in it."""
-    counts = mix_counts(docs, **settings).groupBy("doc_id").agg(F.max("copies").alias("__copies"), F.max("size").alias("__size"))
-    one = docs.alias("d").join(counts.withColumnRenamed("doc_id", "__id"), F.col("d.doc_id").eqNullSafe(F.col("__id"))).filter("__copies > 0 and __size > 0")
-    return one.select("d.*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
+    Needs doc_id, source and text; other columns are left out. A null source is a source
+    of its own, last in order; a null or blank text has size 0 and is taken with none.
+    Documents of equal size and source are chosen by a hash of seed and doc_id, so reruns
+    agree; of repeated rows it doesn't matter which. An empty table gives no rows.
+    """
+    return _counted(scratch(sizes(docs), "mix-sizes"), weights=weights, share=share, most=most, seed=seed)
+
+
+def mixture(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it, with a number for each copy, from 1.
+
+    Rows are counted and taken one by one, by a key of their own, so repeated and null ids
+    don't change what a source comes to. Texts without words, null ones too, aren't in it;
+    an empty table stays empty. All columns of docs stay, of any name; the number is in
+    column copy, or copy_ where docs have a copy already.
+    """
+    key, copies, copy = (unused_name(docs, name) for name in ("row", "copies", "copy"))
+    keyed = scratch(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    counts = _counted(scratch(sizes(keyed, key), "mix-sizes"), weights=weights, share=share, most=most, seed=seed)
+    taken = counts.filter("copies > 0 and size > 0").select(F.col("row").alias(key), F.col("copies").cast("int").alias(copies))
+    return keyed.join(taken, key).select(*all_columns(docs), F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy))

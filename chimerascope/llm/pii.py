@@ -2,9 +2,12 @@
 
 Patterns propose candidate spans. Labelers vote on each: strict forms, gazetteers and
 words of the context, each for, against or silent. Expectation-maximisation over the
-counts of vote patterns in all documents estimates how reliable each labeler is; its soft
-labels then train the span classifier, which decides by kind, length and votes. Only the
-table of vote patterns, of a bounded number of rows, comes to the driver.
+counts of vote patterns in all documents estimates how reliable each labeler is. Its soft
+labels train the span classifier, which never sees a vote: it judges by the word before,
+the letters' shape, what follows, length, place and checksum, so it also decides where
+all labelers are silent. Only the table of vote patterns and that of the classifier's
+features, both of a bounded number of rows, come to the driver; what is written between
+the steps holds places, never the data found.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chimerascope.llm.shared import scratch
-from chimerascope.llm.spans import count_kind, digest_text, digits, find, passes_luhn, valid_address
+from chimerascope.llm.spans import count_kind, digest_text, digits, find, passes_luhn, places, valid_address
 
 # Kinds, the base ones first, in the order that breaks ties.
 KINDS = ("email", "ip", "card", "phone", "local_phone", "ssn", "iban", "written_email", "person", "street")
@@ -38,13 +41,28 @@ _FURTHER = (
 )
 
 # Gazetteers and words of the context, by hand.
-_DOMAINS = "(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ca|ch|at|it|nl)"
-_NAMES = "(?i)\\b(?:james|john|mary|robert|linda|michael|sarah|david|laura|anna|peter|paul|maria|thomas|julia|hans|pierre|carlos|smith|jones|brown|miller|davis|garcia|martin|schmidt|dubois)\\b"
+_DOMAINS = (
+    "(?:com|org|net|edu|gov|mil|int|info|biz|io|dev|app|ai|me|tv|co|name|pro|eu|uk|us|ca|mx|br|ar|cl|pe|de|at|ch|li|fr|be|nl|lu|es|pt|it|gr|ie|is|no|se|dk|fi|ee|lv|lt|pl|cz|sk|hu|ro|bg|hr|si|rs|"
+    "ua|ru|tr|il|ae|sa|eg|za|ng|ke|in|pk|cn|hk|tw|jp|kr|sg|my|th|vn|id|ph|au|nz)"
+)
+_GIVEN = (
+    "james john robert michael william david richard joseph thomas charles daniel matthew anthony mark paul steven andrew kenneth george joshua kevin brian edward ronald timothy jason mary patricia jennifer linda "
+    "elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra ashley emily anna laura julia emma olivia sophia maria hans peter klaus jürgen wolfgang stefan heike sabine petra monika pierre jean "
+    "michel philippe nicolas marie nathalie isabelle carlos josé juan luis antonio carmen ana lucía giovanni marco giulia ahmed mohammed fatima wei li ming yuki hiroshi priya raj olga ivan"
+).split()
+_SURNAMES = (
+    "smith johnson williams brown jones garcia miller davis rodriguez martinez hernandez lopez gonzalez wilson anderson taylor moore jackson martin lee perez thompson white harris clark lewis robinson walker young "
+    "allen king wright scott nguyen hill green adams baker müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann dubois durand lefebvre moreau laurent rossi russo ferrari fernández gómez silva "
+    "santos kim chen wang zhang singh kumar ali khan ivanov kowalski novak jensen hansen"
+).split()
+_NAMES = "(?i)(?<!\\p{L})(?:" + "|".join((*_GIVEN, *_SURNAMES)) + ")(?!\\p{L})"
 _BANKS = "^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|SE)"
 _FOR = "(?i)(?:e-?mail|mail|contact|call|phone|tel|mobile|fax|ssn|social security|iban|account|card|visa|mastercard|credit|ip|host|address|lives|born|dear|name)"
 _AGAINST = "(?i)(?:version|release|isbn|issn|doi|order|invoice|sku|part no|model|chapter|section|page|figure|table|example|serial)"
 #: Code points of context read on each side of a span.
 CONTEXT = 40
+#: How many traits the classifier sees, and how many values of each; words and shapes are hashed to so many.
+TRAITS, TRAIT_VALUES = 6, 256
 LABELERS = ("form", "gazetteer", "context_for", "context_against", "plain", "company")
 
 
@@ -68,7 +86,7 @@ def _further_spans(text: Column, base: Column) -> Column:
 
 
 def _fields(s: Column) -> list[Column]:
-    return [s[name].alias(name) for name in ("start", "kind", "end", "hit")]
+    return [s[name].alias(name) for name in ("start", "kind", "end")]
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -76,7 +94,7 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def _votes(text: Column, spans: Column) -> Column:
-    """Each span with its votes (1 for, -1 against, 0 silent) in the order of LABELERS, and its length class."""
+    """The place of each span with its votes (1 for, -1 against, 0 silent) in the order of LABELERS, and its traits."""
 
     def judged(s: Column, i: Column) -> Column:
         hit, kind = s["hit"], s["kind"]
@@ -103,28 +121,45 @@ def _votes(text: Column, spans: Column) -> Column:
             _vote(after.rlike("^[\\x20\\n.,;:!?)]|^$"), repeated),
             _vote(company, F.lit(False)),
         )
-        return F.struct(*_fields(s), votes.alias("votes"), F.floor(F.log2(F.length(hit).cast("double"))).cast("int").alias("size"))
+        return F.struct(*_fields(s), votes.alias("votes"), _traits(kind, hit, before, after, s["start"]).alias("traits"))
 
     return F.transform(spans, judged)
 
 
+def _traits(kind: Column, hit: Column, before: Column, after: Column, start: Column) -> Column:
+    """What the classifier sees of a span, as whole numbers of at most TRAIT_VALUES each: length class, shape, word before, sign after, place in the text, checksum."""
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(hit, "[0-9]+", "9"), "\\p{Lu}+", "A"), "\\p{Ll}+", "a"), "(9[.\\x20-]?|Aa\\x20?){3,}", "*")
+    word = F.lower(F.regexp_extract(before, "(\\p{L}+)[^\\p{L}]*$", 1))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(TRAIT_VALUES)).cast("int")
+    length = F.least(F.floor(F.log2(F.length(hit).cast("double"))), F.lit(9)).cast("int")
+    place = F.when(start == 0, 0).when(before.rlike("[.!?\\n]\\x20*$"), 1).otherwise(2)
+    return F.array(length, bucket(shape), bucket(word), bucket(F.regexp_extract(after, "^(\\p{L}+|.)", 1)), place, F.when(kind == KINDS.index("iban"), F.when(sound_iban(hit), 1).otherwise(0)).otherwise(2))
+
+
+def sound_iban(hit: Column) -> Column:
+    """Whether an account number leaves 1 when divided by 97, its first four signs moved to the end and letters read as numbers from 10."""
+    bare = F.replace(hit, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(bare, 5, F.length(bare)), F.substring(bare, 1, 4))
+    value = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = lambda acc, c: F.when(value(c) > 9, (acc * 100 + value(c)) % 97).otherwise((acc * 10 + value(c)) % 97)
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda acc, c: rest(acc, c).cast("int")) == 1
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, and the base and further spans with their votes."""
+    """One row per row of docs: doc_id, and the base and further spans as places, each with its votes and traits."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     rows = rows.withColumn("spans", F.sort_array(F.concat("base", _further_spans(F.col("text"), F.col("base")))))
     return rows.select("doc_id", _votes(F.col("text"), F.col("spans")).alias("spans"))
 
 
-def reliabilities(patterns: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 30) -> dict[tuple[int, tuple[int, ...]], float]:
+def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 30) -> dict[tuple[int, tuple[int, ...]], float]:
     """Probability of being personal data for each kind and vote pattern, by expectation-maximisation.
 
-    patterns: kind, votes, length class, count. Labelers are taken to vote independently given the truth; each has
+    patterns: kind, votes, count. Labelers are taken to vote independently given the truth; each has
     its own rates of the three votes for either truth, and each kind its own prior.
     """
-    counts: dict[tuple[int, tuple[int, ...]], int] = {}
-    for kind, votes, _, n in patterns:
-        counts[kind, votes] = counts.get((kind, votes), 0) + n
+    counts = {(kind, votes): n for kind, votes, n in patterns}
     chance = {(kind, votes): 1 / (1 + math.exp(-0.5 - sum(votes))) for kind, votes in counts}
     labelers = len(next(iter(counts), (0, ()))[1])
     for _ in range(rounds):
@@ -148,29 +183,46 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], int, int]], rounds:
     return chance
 
 
-def classifier(patterns: list[tuple[int, tuple[int, ...], int, int]]) -> dict[str, float]:
-    """Log-odds weights of a naive Bayes span classifier over kind, length class and votes, trained on the soft labels."""
-    chance = reliabilities(patterns)
-    mass: dict[str, list[float]] = {}
-    for kind, votes, size, n in patterns:
-        p = chance[kind, votes]
-        for name in ("all", f"k{kind}", f"k{kind}s{size}", *(f"v{j}:{v}" for j, v in enumerate(votes))):
-            pair = mass.setdefault(name, [0.0, 0.0])
-            pair[0] += n * (1 - p)
-            pair[1] += n * p
-    no, yes = mass.pop("all", [0.0, 0.0])
-    weights = {name: math.log((b + 1) / (yes + 2)) - math.log((a + 1) / (no + 2)) for name, (a, b) in mass.items()}
-    return weights | {"all": math.log((yes + 1) / (no + 1))}
+def vote_patterns(table: DataFrame) -> DataFrame:
+    """(kind, votes, n): at most kinds x 3 ** labelers rows, however large the table."""
+    return table.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").agg(F.count("*").alias("n"))
 
 
-def vote_patterns(table: DataFrame) -> DataFrame:
-    """(kind, votes, size, n): at most kinds x 3 ** labelers x length classes rows, however large the table."""
-    spans = table.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", F.least("s.size", F.lit(7)).alias("size"))
-    return spans.groupBy("kind", "votes", "size").agg(F.count("*").alias("n"))
+def _numbers(values: list[float]) -> Column:
+    """A constant array, of which an element is read by its place."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _code(kind: int, votes: tuple[int, ...]) -> int:
+    for vote in votes:
+        kind = 3 * kind + vote + 1
+    return kind
+
+
+def trait_weights(table: DataFrame, chance: dict[tuple[int, tuple[int, ...]], float]) -> list[float]:
+    """Log-odds weights of a naive Bayes classifier over the traits of each kind, trained on the soft labels of all spans.
+
+    One for each kind, trait and value; the first trait has the kind's own odds as its
+    value 0. Kinds and traits without spans weigh nothing.
+    """
+    labels = [0.5] * len(KINDS) * 3 ** len(LABELERS)
+    for pattern, p in chance.items():
+        labels[_code(*pattern)] = p
+    code = F.aggregate("s.votes", F.col("s.kind"), lambda acc, v: (3 * acc + v + 1).cast("int"))
+    spans = table.select(F.explode("spans").alias("s")).select("s.kind", "s.traits", F.get(_numbers(labels), code).alias("p"))
+    seen = spans.select("kind", "p", F.posexplode(F.concat(F.array(F.lit(0)), "traits")).alias("trait", "value"))
+    rows = seen.groupBy("kind", "trait", "value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
+    whole = {r["kind"]: (r["yes"], r["no"]) for r in rows if r["trait"] == 0}
+    weights = [0.0] * len(KINDS) * (1 + TRAITS) * TRAIT_VALUES
+    for r in rows:
+        yes, no = whole[r["kind"]]
+        own = math.log((yes + 1) / (no + 1)) if r["trait"] == 0 else math.log((r["yes"] + 1) / (yes + 2)) - math.log((r["no"] + 1) / (no + 2))
+        weights[(r["kind"] * (1 + TRAITS) + r["trait"]) * TRAIT_VALUES + r["value"]] = own
+    return weights
 
 
 def detect(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """One row per row of docs: doc_id, base and spans (arrays of start, kind, end, hit).
+    """One row per row of docs: doc_id, base and spans (arrays of start, kind, end).
 
     Whole texts are searched, offsets count code points. Base spans always stay; a further
     span stays where the classifier's probability reaches threshold. Null and empty texts
@@ -178,22 +230,16 @@ def detect(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     null too; other columns are left out. An empty table gives no rows.
     """
     table = scratch(candidates(docs), "pii-candidates")
-    counted = [(r["kind"], tuple(r["votes"]), r["size"], r["n"]) for r in vote_patterns(table).collect()]
-    weights = classifier(counted)
-    lookup = F.create_map(*chain.from_iterable((F.lit(k), F.lit(w)) for k, w in sorted(weights.items())))
-    weight = lambda name: F.coalesce(F.try_element_at(lookup, name), F.lit(0.0))
+    weights = trait_weights(table, reliabilities([(r["kind"], tuple(r["votes"]), r["n"]) for r in vote_patterns(table).collect()]))
+    lookup = _numbers(weights)
 
     def odds(s: Column) -> Column:
-        kind = F.concat(F.lit("k"), s["kind"].cast("string"))
-        total = weight(F.lit("all")) + weight(kind) + weight(F.concat(kind, F.lit("s"), F.least(s["size"], F.lit(7)).cast("string")))
-        for j in range(len(LABELERS)):
-            total += weight(F.concat(F.lit(f"v{j}:"), F.get(s["votes"], F.lit(j)).cast("string")))
-        return total
+        first = s["kind"] * (1 + TRAITS) * TRAIT_VALUES
+        return F.aggregate(F.transform(s["traits"], lambda v, i: F.get(lookup, first + (i + 1) * TRAIT_VALUES + v)), F.get(lookup, first), lambda a, w: a + w)
 
-    plain = lambda spans: F.transform(spans, lambda s: F.struct(*_fields(s)))
     bound = math.log(threshold / (1 - threshold))
     kept = F.filter("spans", lambda s: (s["kind"] < BASE) | (odds(s) >= bound))
-    return table.select("doc_id", plain(F.filter("spans", lambda s: s["kind"] < BASE)).alias("base"), plain(kept).alias("spans"))
+    return table.select("doc_id", places(F.filter("spans", lambda s: s["kind"] < BASE)).alias("base"), places(kept).alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:

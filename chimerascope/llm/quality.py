@@ -167,13 +167,17 @@ def _batches(batches: Iterator[pa.RecordBatch], last) -> Iterator[pa.RecordBatch
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 10_000, held_out: tuple[int, int] = (4, 2)) -> AdditiveModel:
     """Fit on the labelled documents outside the held-out fold.
 
-    The fit takes at most sample_rows labelled rows, those of the smallest hash of their
-    id; this bound is the only one. Labels other than 0 and 1, and null ids, are left out.
+    The fit takes at most sample_rows labelled ids, those of the smallest hash of their
+    id, and one text of each; only their features come to the driver. Of labels repeated
+    for an id the largest counts, of texts the smallest. Labels other than 0 and 1, and
+    null ids, are left out; without any label the model always gives one half.
     """
     n, fold = held_out
     usable = labels.filter(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), n) != fold))
-    sample = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows)
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("y", "text")
+    one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("double")).alias("y"))
+    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    marked = marked.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
     def run(batches):
         yield from _batches(batches, lambda y, x: pa.RecordBatch.from_arrays([y, pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"]))
@@ -199,7 +203,11 @@ def score(docs: DataFrame, model: AdditiveModel, *, threshold: float = 0.7, held
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, *, threshold: float = 0.7) -> DataFrame:
-    """Those rows of docs that the model doesn't reject, with all their columns; rows are judged by their own text."""
+    """Those rows of docs that the model doesn't reject, with all their columns, of any name.
+
+    Rows are judged by their own whole text, repeated rows alike; a null, empty or blank
+    text has the score of a text of no words. An empty table stays empty.
+    """
 
     def judge(texts: pd.Series) -> pd.Series:
         x = [features(None if t is None else np.frombuffer(t.encode(), np.uint8)) for t in texts]

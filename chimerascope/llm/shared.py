@@ -29,9 +29,11 @@ _powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster, an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,11 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -60,6 +67,14 @@ def all_columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until no column of df has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fields of a span, in an order that sorts by start and then by kind.
 SPAN = "struct<start:int,kind:int,end:int,hit:string>"
+#: Without the matched text, for tables that are kept.
+PLACE = "struct<start:int,kind:int,end:int>"
 _BLOCK = 256
 
 
@@ -63,6 +65,11 @@ def find(text: Column, pattern: str, kind: int, *, gate: Column | None = None) -
     return F.when(there if gate is None else gate & there, let(parts, spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def places(spans: Column) -> Column:
+    """Spans without their text."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
 def digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 

@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and long texts, repeated rows, extra and clashing columns, and empty tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from chimerascope.llm import chat, decontaminate, language, licenses, mixing, near_dedup, neighbours, pii, quality, secrets
 
@@ -57,14 +58,39 @@ def test_secrets(spark, docs, empty):
     assert clean == {1: "a [SECRET]\" and [SECRET]", 2: "a [SECRET]\" and [SECRET]", None: None}
 
 
-def test_ledger_scans_each_blob_once(spark):
+def test_ledger_scans_each_blob_once(spark, tmp_path):
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
     old = spark.createDataFrame([(1, "password=hunter22"), (2, "password=hunter22"), (3, "plain")], "doc_id long, text string")
-    found, ledger = secrets.scan_secrets(old)
-    assert ledger.count() == 2 and found.count() == 3
-    new = old.union(spark.createDataFrame([(4, "token: abcdef123")], "doc_id long, text string"))
-    found, fresh = secrets.scan_secrets(new, ledger)
-    assert fresh.count() == 1
-    assert {r["path"]: len(r["spans"]) for r in found.collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
+    assert secrets.scan_secrets(old, ledger).count() == 3
+    assert ledger.known().count() == 2
+    new = old.union(spark.createDataFrame([(4, "token: abcdef123"), (1, "password=hunter23")], "doc_id long, text string"))
+    found = secrets.scan_secrets(new, secrets.Ledger(spark, ledger.path))
+    rows = spark.read.parquet(ledger.path)
+    assert rows.count() == 4 and "hunter2" not in str(rows.collect())
+    assert sorted((r["path"], len(r["spans"])) for r in found.collect()) == [(1, 1), (1, 1), (2, 1), (3, 0), (4, 1)]
+    ledger.add(secrets.versions(new))
+    rows.limit(1).write.mode("append").parquet(ledger.path)
+    assert ledger.known().count() == 4 and secrets.findings(new, ledger).count() == 5
+    ledger.add(secrets.versions(new), "other rules")
+    assert ledger.known("other rules").count() == 4
+
+
+@pytest.mark.parametrize("increments", [1, 3])
+def test_increments_find_the_same(spark, docs, increments):
+    key = lambda rows: sorted(map(str, rows))
+    assert key(secrets.report(docs, increments=increments).collect()) == key(secrets.report(docs).collect())
+
+
+def test_internal_names_in_the_input(spark):
+    """Columns named like the operators' own keep their values."""
+    names = ["text_key", "blob", "secret_spans", "copy", "copies", "row", "w_row", "w_digest", "__key", "__node", "__blob", "digest", "Size", "node"]
+    values = [f"v{i}" for i in range(len(names))]
+    text = "some words with token = abcdef99 and a few more words in it"
+    table = spark.createDataFrame([(1, text, "s", *values), (2, "other words " + text, "s", *values)], ["doc_id", "text", "source", *names])
+    items = spark.createDataFrame([(1, "nothing of this is there at all")], "item_id long, text string")
+    for out in (secrets.redact(table), near_dedup.drop_near_duplicates(table), decontaminate.drop_leaks(table, items), mixing.mixture(table)):
+        assert out.columns[: len(table.columns)] == table.columns
+        assert {tuple(r[3 : 3 + len(names)]) for r in out.collect()} == {tuple(values)}
 
 
 def test_quality(spark, docs, empty):
@@ -76,6 +102,7 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, model).collect() == []
     assert quality.train(empty, labels).score(quality.features(None)[None, :])[0] == pytest.approx(0.5)
     assert quality.keep_good(docs, model, threshold=0.0).count() == len(ROWS)
+    assert quality.keep_good(empty, model).collect() == []
 
 
 def test_near_dedup(spark, docs, empty):
@@ -107,7 +134,11 @@ def test_mixing(docs, empty):
     assert all(r["taken"] == 0 for r in rows if r["doc_id"] in (3, 4, 5))
     assert mixing.mix_counts(empty).collect() == []
     mixed = mixing.mixture(docs)
-    assert mixed.columns == [*docs.columns, "copy"]
+    assert mixed.columns == [*docs.columns, "copy"] and mixing.mixture(empty).collect() == []
+    many = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs)
+    size = {r["source"]: r["n"] for r in mixing.sizes(mixing.mixture(many)).groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    target = {r["source"]: (r["target"], r["taken"]) for r in mixing.mix_counts(many).groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    assert {s: n for s, n in size.items() if n} == {s: t for s, (_, t) in target.items() if t}
 
 
 def test_licenses(docs, empty):
@@ -156,3 +187,11 @@ def test_long_conversation_spans_blocks(spark):
     start = spark.range(2000).selectExpr("2L as conv_id", "id as turn", "'user' as role", "cast(id as string) as text")
     rows = chat.render_maximal(whole.union(start))
     assert rows.select("conv_id", "n_turns").distinct().collect() == [(1, 3000)] and rows.count() == 3000
+    same = spark.range(2000).selectExpr("cast(null as long) as conv_id", "cast(null as long) as turn", "'user' as role", "'again' as text")
+    rows = chat.render_maximal(same.union(same.limit(1500).selectExpr("9L", "turn", "role", "text")))
+    assert sorted(r["seq"] for r in rows.collect()) == list(range(1, 2001))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert chat.rolling_prefixes(same).select("block").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
