@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from chimerascope.plans.models import check_models, transcript_models, with_sequences
+from chimerascope.plans.models import check_models, source_label, transcript_models, with_sequences
 from chimerascope.sources import dump, fasta, interpro, panther, uniprot
-from chimerascope.sources.lake import Build, Lake
+from chimerascope.sources.lake import Build, Lake, file_fingerprint
 
 REQUIRED = ("transcript", "translation", "exon", "exon_transcript", "seq_region", "coord_system", "analysis", "protein_feature", "interpro", "xref")
 OPTIONAL = ("object_xref", "external_db")
@@ -17,34 +16,49 @@ def build_lake(
     spark: SparkSession, source: str, out: str, *, release: str, ddl: str = "schema.sql", dna: str = "dna.fa", peptides: str = "pep.fa", entries: str | None = None,
     history: dict[str, str] | None = None, classes: str | None = None, curated: str | None = None, assembly: str = "GRCh38", chunk: int = fasta.CHUNK, replace: bool = False,
 ) -> Lake:
-    """Builds and publishes the lake of one release; an interrupted build with the same settings goes on where it stopped.
+    """Builds and publishes the lake of one release; an interrupted build goes on where it stopped if settings and files are the same, by their content.
 
-    source holds the DDL, one dump file <table>.txt (or .txt.gz) for each table, and the FASTA files.
+    source holds the DDL, one dump file <table>.txt (or .txt.gz) for each table, and the
+    FASTA files. classes may hold {release}, which stands for the one release of the
+    family classes that the analyses name. Integrated entries that current translations
+    use must have a type in the entry list or in the history, newest version first.
     """
     schema = dump.read_schema(spark, f"{source}/{ddl}")
     lacking = [t for t in REQUIRED if t not in schema]
     if lacking:
         raise ValueError(f"The DDL lacks {', '.join(lacking)}")
-    build = Build(spark, out, {"source": source, "release": release, "assembly": assembly, "chunk": chunk, "entries": entries, "history": history, "classes": classes, "curated": curated})
+    tables = (*REQUIRED, *(t for t in OPTIONAL if t in schema))
+    read = {"dna": f"{source}/{dna}", "peptides": f"{source}/{peptides}", "ddl": f"{source}/{ddl}", "entries": entries, "curated": curated, **{f"history {v}": path for v, path in (history or {}).items()}}
+    read |= {t: f"{source}/{t}.txt*" for t in tables}
+    prints = {name: file_fingerprint(spark, path) for name, path in read.items()}
+    build = Build(spark, out, {"release": release, "assembly": assembly, "chunk": chunk, "classes": classes, "files": prints})
     raw: dict[str, DataFrame] = {}
-    for name in (*REQUIRED, *(t for t in OPTIONAL if t in schema)):
+    for name in tables:
         raw[name] = build.stage(f"raw_{name}", lambda name=name: dump.read_table(spark, f"{source}/{name}.txt*", schema[name]))
-    records = fasta.read_fasta(spark, f"{source}/{dna}", "dna").union(fasta.read_fasta(spark, f"{source}/{peptides}", "pep"))
-    chunks = build.stage("seq_chunks", lambda: fasta.chunked(records, chunk))
+    records = build.stage("seq_records", lambda: fasta.read_fasta(spark, f"{source}/{dna}", "dna").union(fasta.read_fasta(spark, f"{source}/{peptides}", "pep")))
     index = build.stage("seq_index", lambda: records.drop("bases"))
+    chunks = build.stage("seq_chunks", lambda: fasta.without_orphans(fasta.chunked(records, chunk), index))
     regions = raw["seq_region"].join(raw["coord_system"].select("coord_system_id", "version"), "coord_system_id")
     odd = fasta.missing_regions(regions, index, assembly=assembly).head()
     if odd is not None:
         raise ValueError(f"Sequence {odd['sequence_id']} of {odd['length']} bases matches no region; lengths by name: {odd['candidates']}")
     old = [(version, interpro.read_entries(spark, path)) for version, path in (history or {}).items()]
     named = build.stage("entries", lambda: interpro.resolved(interpro.core_names(raw["xref"]), None, interpro.read_entries(spark, entries) if entries else None, old))
-    found = None
+    untyped = [r[0] for r in interpro.unresolved(interpro.used_entries(raw), named).orderBy("interpro_id").limit(10).collect()]
+    if untyped:
+        raise ValueError(f"Entries in use without a type: {', '.join(untyped)}")
+    found, imported = None, {}
     if curated:
-        held = chunks.filter("kind = 'pep'").groupBy("sequence_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_start", "bases"))), lambda c: c["bases"]), "").alias("bases"))
-        held = held.join(index.filter("kind = 'pep'").select("sequence_id", "stable_id"), "sequence_id")
-        found = build.stage("curated", lambda: uniprot.verified(uniprot.proteins(uniprot.read_entries(spark, curated)), held))
+        held = records.filter("kind = 'pep'").select("sequence_id", "stable_id", "bases")
+        links = uniprot.cross_references(raw)
+        chosen = build.stage("curated_entries", lambda: uniprot.read_entries(spark, curated))
+        isoforms = build.stage("isoforms", lambda: uniprot.proteins(chosen))
+        found = build.stage("curated", lambda: uniprot.verified(isoforms, held, links=links))
+        imported = {f"curated_{k}": str(v) for k, v in uniprot.import_counts(chosen, isoforms, held, found, links=links).items()}
+    if classes and "{release}" in classes:
+        classes = classes.replace("{release}", panther.release(raw["analysis"].filter(source_label(raw["analysis"]) == "PANTHER")))
     families = build.stage("classes", lambda: panther.read_classes(spark, classes)) if classes else None
     bare = build.stage("structures", lambda: transcript_models(raw, index, named, curated=found, classes=families, assembly=assembly))
     counts = check_models(bare)
     build.stage("models", lambda: with_sequences(bare, chunks, size=chunk))
-    return build.finish({"release": release, "assembly": assembly, **{f"n_{k}": str(v) for k, v in counts.items()}}, replace=replace)
+    return build.finish({"release": release, "assembly": assembly, "chunk": str(chunk), **{f"n_{k}": str(v) for k, v in counts.items()}, **imported}, replace=replace)

@@ -25,6 +25,13 @@ def source_label(analysis: DataFrame) -> Column:
     return F.when(F.lower(name).isin(*STRUCTURE_SOURCES), name).when(F.lower(label) == "panther", "PANTHER").otherwise(label)
 
 
+def source_counts(raw: dict[str, DataFrame]) -> DataFrame:
+    """(logic_name, db, db_version, n): how many protein features each analysis gives; db and db_version are null where the dump lacks them."""
+    analysis = raw["analysis"]
+    optional = [F.col(c) if c in analysis.columns else F.lit(None).cast("string").alias(c) for c in ("db", "db_version")]
+    return raw["protein_feature"].join(analysis.select("analysis_id", "logic_name", *optional), "analysis_id").groupBy("logic_name", "db", "db_version").agg(F.count("*").alias("n"))
+
+
 def canonical(raw: dict[str, DataFrame]) -> DataFrame:
     """Current transcripts with region, assembly, canonical translation and whether they have any translation."""
     t = raw["transcript"].filter("is_current = 1").select(
@@ -163,6 +170,7 @@ def with_sequences(models: DataFrame, chunks: DataFrame, *, size: int) -> DataFr
     asked = models.filter("status = 'ready'").select(
         F.col("transcript_id").alias("request_id"), F.col("chromosome").alias("sequence_id"), F.col("transcript_genomic_start").alias("start"), F.col("transcript_genomic_end").alias("end"), "strand"
     )
-    bases = fetch(asked, chunks.filter("kind = 'dna'").select("sequence_id", "chunk_start", F.col("bases")), size=size)
-    read = bases.select(F.col("request_id").alias("transcript_id"), F.col("bases").alias("read"))
+    bases = fetch(asked, chunks.filter("kind = 'dna'").select("sequence_id", "chunk_start", F.col("bases")), size=size).join(asked.select("request_id", "start", "end"), "request_id")
+    whole = F.when(F.length("bases") == F.col("end") - F.col("start") + 1, F.col("bases")).otherwise(F.raise_error(F.concat(F.lit("Missing or damaged sequence chunks of "), F.col("request_id"))))
+    read = bases.select(F.col("request_id").alias("transcript_id"), whole.alias("read"))
     return models.join(read, "transcript_id", "left").withColumn("premrna_sequence", F.col("read")).drop("read")

@@ -5,9 +5,11 @@ A line of an order is an exon, an order a transcript; documents give the bases.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chimerascope.functions.intervals import running_total
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,34 +27,40 @@ def exon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("pre_start", start).withColumn("pre_end", F.col("pre_start") + F.col("length") - 1)
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(transcript_id, start, end, strand, seq_region_id, chromosome) of the orders that have lines."""
-    spans = exon_lines(spark, sf_dir).groupBy("transcript_id").agg(F.max("pre_end").alias("span"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("transcript_id"), F.col("o_custkey").alias("customer"))
-    start = (1000 + F.col("transcript_id") % 97).cast("int")
-    return orders.join(spans, "transcript_id").select(
-        "transcript_id", start.alias("start"), (start + F.col("span") - 1).alias("end"), F.when(F.col("transcript_id") % 2 == 0, 1).otherwise(-1).alias("strand"),
-        (F.col("customer") % 5).alias("seq_region_id"), (F.col("customer") % 5).cast("string").alias("chromosome"),
-    )
-
+def whole_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts with their exons and translation ends, as operators.structure.derived takes them: one grouping of the lines and one join with the orders.
+
+    A transcript's translation goes from the first base of its first exon to the last base
+    of its last one.
+    """
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("transcript_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    length = lambda x: F.floor(x["l_quantity"]).cast("int")
+    starts = running_total(F.transform("lines", lambda x: length(x) + (1 + x["l_partkey"] % 20).cast("int")), F.lit(1))
+    rows = rows.select("transcript_id", F.zip_with("lines", starts, lambda x, at: F.struct(at.alias("pre_start"), (at + length(x) - 1).alias("pre_end"))).alias("parts"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("transcript_id"), (F.col("o_custkey") % 5).alias("seq_region_id"))
+    rows = rows.join(orders, "transcript_id").withColumn("start", (1000 + F.col("transcript_id") % 97).cast("int"))
+    last = F.element_at("parts", -1)
+    rows = rows.withColumns({"end": (F.col("start") + last["pre_end"] - 1).cast("int"), "strand": F.when(F.col("transcript_id") % 2 == 0, 1).otherwise(-1), "chromosome": F.col("seq_region_id").cast("string")})
+
+    def exon(x: Column, i: Column) -> Column:
+        low = F.when(F.col("strand") == 1, F.col("start") + x["pre_start"] - 1).otherwise(F.col("end") - x["pre_end"] + 1)
+        return F.struct(
+            (F.col("transcript_id") * 100 + i + 1).alias("exon_id"), (i + 1).alias("rank"), low.alias("start"), (low + x["pre_end"] - x["pre_start"]).alias("end"), F.col("strand").alias("strand"),
+            F.lit(-1).alias("phase"), F.col("seq_region_id").alias("seq_region_id"),
+        )
 
-def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exons with genomic bounds, as annotation dumps have them."""
-    rows = exon_lines(spark, sf_dir).join(transcripts(spark, sf_dir), "transcript_id")
-    forward = F.col("strand") == 1
-    low = F.when(forward, F.col("start") + F.col("pre_start") - 1).otherwise(F.col("end") - F.col("pre_end") + 1)
     return rows.select(
-        "transcript_id", (F.col("transcript_id") * 100 + F.col("rank")).alias("exon_id"), "rank", low.alias("start"), (low + F.col("length") - 1).alias("end"), "strand",
-        F.lit(-1).alias("phase"), "seq_region_id",
+        "transcript_id", "start", "end", "strand", "seq_region_id", "chromosome", F.transform("parts", exon).alias("exons"), F.lit(1).alias("seq_start"),
+        (F.col("transcript_id") * 100 + 1).alias("start_exon_id"), (last["pre_end"] - last["pre_start"] + 1).alias("seq_end"), (F.col("transcript_id") * 100 + F.size("parts")).alias("end_exon_id"),
     )
 
 
-def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A translation per transcript, from the first base of its first exon to the last base of its last."""
-    lines = exon_lines(spark, sf_dir).groupBy("transcript_id").agg(F.max("rank").alias("n"), F.max_by("length", "rank").alias("seq_end"))
-    return lines.select(
-        "transcript_id", F.lit(1).alias("seq_start"), (F.col("transcript_id") * 100 + 1).alias("start_exon_id"), "seq_end", (F.col("transcript_id") * 100 + F.col("n")).alias("end_exon_id")
-    )
+def split_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same as three tables, as annotation dumps have them: transcripts, exons, translations."""
+    rows = whole_transcripts(spark, sf_dir)
+    exons = rows.select("transcript_id", F.explode("exons").alias("x")).select("transcript_id", "x.*")
+    return rows.drop("exons", "seq_start", "start_exon_id", "seq_end", "end_exon_id"), exons, rows.select("transcript_id", "seq_start", "start_exon_id", "seq_end", "end_exon_id")
 
 
 def bases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chimerascope import schemas
 from chimerascope.functions import intervals, sequences
 from chimerascope.operators import coverage, features, joins, sides, splicing, structure
-from chimerascope.plans import pseudo
+from chimerascope.plans import pseudo, report
 from chimerascope.plans.annotate import annotate
+from chimerascope.plans.models import source_counts
 from chimerascope.plans.pseudo import table
+from chimerascope.plans.staging import staged
+from chimerascope.sources import fasta, lake
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -39,12 +43,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.structures(pseudo.transcripts(spark, sf_dir), pseudo.exons(spark, sf_dir), pseudo.translations(spark, sf_dir))
+    return structure.derived(pseudo.whole_transcripts(spark, sf_dir))
 
 
 @_query("SELECT tx AS transcript_id, rank AS exon_number, g_start AS genomic_start, g_end AS genomic_end, pre_start AS premrna_start, pre_end AS premrna_end FROM gx", pseudo_tables=True)
 def exon_coordinates(spark, sf_dir):
-    return _models(spark, sf_dir).select("transcript_id", F.explode("transcript_exons").alias("x")).select("transcript_id", "x.*")
+    models = structure.structures(*pseudo.split_tables(spark, sf_dir))
+    return models.select("transcript_id", F.explode("transcript_exons").alias("x")).select("transcript_id", "x.*")
 
 
 @_query(
@@ -207,7 +212,7 @@ def splice_patterns(spark, sf_dir):
     rows = lines.join(ends, "transcript_id").select("transcript_id", F.array(F.when(F.col("rank") > 1, acceptor), F.when(F.col("rank") < F.col("n"), donor)).alias("s"))
     grouped = rows.groupBy("transcript_id").agg(F.array_sort(F.array_compact(F.flatten(F.collect_list("s")))).alias("sites"))
     grouped = grouped.withColumn("site_runs", splicing.site_runs(F.col("sites")))
-    return grouped.select("transcript_id", F.size("site_runs").cast("long").alias("runs"), F.size(splicing.splice_patterns(F.col("site_runs"))).cast("long").alias("patterns"))
+    return grouped.select("transcript_id", F.size("site_runs").cast("long").alias("runs"), F.size(splicing.splice_patterns(F.transform("site_runs", lambda run: F.transform(run, lambda s: s["position"])))).cast("long").alias("patterns"))
 
 
 _BASES = "bases AS (SELECT * FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS bases FROM documents) q WHERE length(bases) >= 3)"
@@ -238,8 +243,7 @@ def first_stop(spark, sf_dir):
 )
 def chunk_fetch(spark, sf_dir):
     stored = pseudo.bases(spark, sf_dir)
-    chunks = stored.select(F.col("doc_id").alias("sequence_id"), "bases", F.explode(joins.chunks_of(F.lit(1), F.length("bases"), 64)).alias("chunk_start"))
-    chunks = chunks.withColumn("bases", F.substring(F.col("bases"), F.col("chunk_start"), F.lit(64)))
+    chunks = stored.select(F.col("doc_id").alias("sequence_id"), F.inline(joins.cut_chunks(F.col("bases"), 64)))
     start = (1 + F.col("doc_id") % F.length("bases")).cast("int")
     requests = stored.select(
         F.col("doc_id").alias("request_id"), F.col("doc_id").alias("sequence_id"), start.alias("start"), F.least(F.length("bases"), start + 99).alias("end"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1).alias("strand")
@@ -274,21 +278,37 @@ def status_combine(spark, sf_dir):
 @_query(
     """WITH r AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, CASE WHEN l_quantity > 25 THEN l_returnflag END AS flag FROM lineitem)
 SELECT l_partkey, first(flag ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) FILTER (WHERE flag IS NOT NULL) AS first_flag, max(l_quantity) AS most,
-  array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS suppliers FROM r GROUP BY l_partkey"""
+  array_to_string(list_sort(list(DISTINCT CAST(l_suppkey AS VARCHAR))), ',') AS suppliers,
+  CASE WHEN bool_and(l_quantity > 10) THEN 'preserved' WHEN bool_or(l_quantity > 10) THEN 'preserved/lost' ELSE 'lost' END AS splicing FROM r GROUP BY l_partkey"""
 )
 def feature_group_first_nonnull(spark, sf_dir):
-    order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
-    flag = F.when(F.col("l_quantity") > 25, F.col("l_returnflag"))
-    suppliers = F.array_join(F.transform(F.sort_array(F.collect_set("l_suppkey")), lambda s: s.cast("string")), ",")
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
-        F.min_by(flag, F.when(flag.isNotNull(), order)).alias("first_flag"), F.max("l_quantity").alias("most"), suppliers.alias("suppliers")
-    )
+    """Lines of a part as features of one identity, grouped as annotation groups features."""
+    given = {"interpro_id": F.lit("entry"), "interpro_name": F.when(F.col("l_quantity") > 25, F.col("l_returnflag")), "feature_id": F.col("l_suppkey").cast("string"), "source": F.lit("lines"), "feature_type": F.lit("domain")}
+    fields = [given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in schemas.feature_fields()]
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("event_id"), F.lit("T").alias("transcript_id"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("slot"), F.lit(0).alias("ord"), F.struct(*fields).alias("f"),
+        F.lit("included").alias("breakpoint_status"), F.col("l_quantity").alias("retained_percent"), F.when(F.col("l_quantity") > 10, "preserved").otherwise("lost").alias("splicing_status"), F.lit(None).cast("string").alias("translation_status"),
+    )
+    groups = features.grouped_features(rows)
+    return groups.select(F.col("event_id").alias("l_partkey"), F.col("first_name").alias("first_flag"), F.col("breakpoint_retained_percent").alias("most"), F.array_join("feature_ids", ",").alias("suppliers"), F.col("post_splicing_status").alias("splicing"))
 
 
 @_query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def canonical_anti_join(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+    """Orders as sequence records, those with lines as regions: the records that match no region."""
+    orders = table(spark, sf_dir, "orders")
+    index = orders.select(F.lit("dna").alias("kind"), F.col("o_orderkey").alias("sequence_id"), F.col("o_custkey").alias("length"))
+    held = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    regions = orders.join(held, "o_orderkey").select(F.col("o_orderkey").alias("name"), F.col("o_custkey").alias("length"), F.lit("A").alias("version"))
+    return fasta.missing_regions(regions, index, assembly="A").select(F.col("sequence_id").alias("o_orderkey"), F.col("length").alias("o_custkey"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def orphan_chunks(spark, sf_dir):
+    """Lines as chunks of orders: those of unfinished orders belong to no sequence of the index."""
+    chunks = table(spark, sf_dir, "lineitem").select(F.lit("dna").alias("kind"), F.col("l_orderkey").alias("sequence_id"), "l_linenumber", "l_partkey")
+    index = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.lit("dna").alias("kind"), F.col("o_orderkey").alias("sequence_id"))
+    return fasta.without_orphans(chunks, index).select(F.col("sequence_id").alias("l_orderkey"), "l_linenumber", "l_partkey")
 
 
 @_query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS has_return FROM orders")
@@ -373,10 +393,16 @@ def dump_unescape(spark, sf_dir):
 FROM lineitem GROUP BY l_returnflag, l_linestatus"""
 )
 def latency_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("l_tax") > 0, 1).otherwise(0)).alias("taxed"), F.median("l_extendedprice").alias("middle"),
-        coverage.nearest_rank("l_extendedprice", 0.95).alias("p95"), F.max("l_extendedprice").alias("most"),
-    )
+    """Lines as timed operations: what the benchmark report says of each operation and phase."""
+    timings = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("operation"), F.col("l_linestatus").alias("phase"), (F.col("l_tax") <= 0).alias("ok"), F.col("l_extendedprice").alias("wall"), F.col("l_quantity").alias("cpu"))
+    out = report.summary(timings)
+    return out.select(F.col("operation").alias("l_returnflag"), F.col("phase").alias("l_linestatus"), (F.col("successes") + F.col("errors")).alias("n"), F.col("errors").alias("taxed"), F.col("median").alias("middle"), "p95", F.col("max").alias("most"))
+
+
+@_query("SELECT event_id, user_id, value FROM (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS n FROM events) q WHERE n <= 5")
+def slowest_operations(spark, sf_dir):
+    timings = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").alias("wall"))
+    return report.slowest(timings, tie="event_id").select("event_id", "user_id", F.col("wall").alias("value"))
 
 
 @_query("SELECT o_custkey, max(o_orderkey % 113) AS latest FROM orders GROUP BY o_custkey")
@@ -387,15 +413,20 @@ def latest_release(spark, sf_dir):
     return names.groupBy("o_custkey").agg(newest_release(F.col("name")).alias("latest"))
 
 
-@_query("SELECT l_returnflag, l_linestatus, s_nationkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_returnflag, l_linestatus, s_nationkey")
+@_query("SELECT CAST(s_nationkey AS VARCHAR) AS logic_name, CAST(s_suppkey % 3 AS VARCHAR) AS db_version, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, s_suppkey % 3")
 def source_inventory(spark, sf_dir):
-    lines, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
-    return lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"]).groupBy("l_returnflag", "l_linestatus", "s_nationkey").agg(F.count("*").alias("n"))
+    """Lines as protein features, suppliers as analyses: how many features each source and version gives."""
+    analysis = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("analysis_id"), F.col("s_nationkey").cast("string").alias("logic_name"), (F.col("s_suppkey") % 3).cast("string").alias("db_version"))
+    return source_counts({"protein_feature": table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("analysis_id")), "analysis": analysis}).select("logic_name", "db_version", "n")
 
 
-@_query("SELECT l_returnflag, CAST(bit_xor(l_orderkey) AS BIGINT) AS keys, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
+@_query(
+    """WITH r AS (SELECT l_returnflag, '{"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || ',"l_linestatus":"' || l_linestatus || '"}' AS j FROM lineitem)
+SELECT l_returnflag, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(j), 1, 15) AS BIGINT)) AS VARCHAR) AS content FROM r GROUP BY l_returnflag"""
+)
 def content_fingerprint(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.bit_xor("l_orderkey").alias("keys"), F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("suppliers"))
+    """What exports and resumed builds compare, for the lines of each flag."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), lake.content_sum("l_orderkey", "l_partkey", "l_linestatus").cast("string").alias("content"))
 
 
 @_query("SELECT * FROM (SELECT DISTINCT n_nationkey AS nation FROM nation) q WHERE nation NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT c_nationkey FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) r")
@@ -412,12 +443,12 @@ def sample_ready_ids(spark, sf_dir):
     return ready.orderBy(F.xxhash64(F.lit(42), "l_orderkey"), "l_orderkey").limit(100)
 
 
-def pseudo_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model of every order with lines: bases from the documents, a feature on every exon."""
+def pseudo_models(spark: SparkSession, sf_dir: str, structures: DataFrame | None = None) -> DataFrame:
+    """A model of every order with lines (structures, if they are at hand): bases from the documents, a feature on every exon."""
     docs = pseudo.bases(spark, sf_dir)
     count = docs.count()
     numbered = docs.select((F.col("doc_id") % count).alias("slot"), "bases").groupBy("slot").agg(F.min("bases").alias("bases"))
-    rows = _models(spark, sf_dir).withColumn("slot", F.col("transcript_id") % count).join(numbered, "slot", "left")
+    rows = (_models(spark, sf_dir) if structures is None else structures).withColumn("slot", F.col("transcript_id") % count).join(numbered, "slot", "left")
     pattern = F.coalesce("bases", F.lit("ATGACGTGA"))
     repeats = (F.floor(F.col("premrna_length") / F.length(pattern)) + 1).cast("int")
     start = lambda b, i: F.greatest(F.floor((b["cds_start"] + 4) / 3).cast("int"), F.lit(1))
@@ -444,9 +475,9 @@ def pseudo_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pseudo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pseudo_events(spark: SparkSession, sf_dir: str, structures: DataFrame | None = None) -> DataFrame:
     """An event for every even transcript with the next odd one: N part and C part, each broken in the middle of an exon; alone where the other has no lines."""
-    cut = _cut(_models(spark, sf_dir))
+    cut = _cut(_models(spark, sf_dir) if structures is None else structures)
     place = F.when(F.col("strand") == 1, F.col("start") + F.col("at") - 1).otherwise(F.col("end") - F.col("at") + 1)
     part = cut.select(
         F.floor(F.col("transcript_id") / 2).alias("pair"), F.col("transcript_id") % 2 == 0, F.concat(F.lit("ENST"), F.col("transcript_id").cast("string")).alias("id"),
@@ -464,7 +495,8 @@ def pseudo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def fusion_annotate(spark, sf_dir):
     """The flagship: all derived events annotated against all derived models, one row per event."""
-    out = annotate(pseudo_events(spark, sf_dir), pseudo_models(spark, sf_dir))
+    structures = staged(_models(spark, sf_dir), "structures")
+    out = annotate(pseudo_events(spark, sf_dir, structures), pseudo_models(spark, sf_dir, structures))
     count = lambda status, name: F.size(F.filter("domains", lambda d: d[name] == status)).alias(f"n_{status}")
     starts = F.array_join(F.transform(F.map_entries("translation_start"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return out.select(

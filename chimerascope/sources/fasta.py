@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chimerascope.operators.joins import chunks_of
+from chimerascope.operators.joins import cut_chunks
 
 CHUNK = 1 << 20
 # The letters of nucleotide and of peptide sequences.
@@ -39,8 +39,12 @@ def read_fasta(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def chunked(records: DataFrame, size: int = CHUNK) -> DataFrame:
     """(kind, sequence_id, chunk_start, bases) of records, for interval reads."""
-    rows = records.select("kind", "sequence_id", "bases", F.explode(chunks_of(F.lit(1), F.length("bases"), size)).alias("chunk_start"))
-    return rows.select("kind", "sequence_id", "chunk_start", F.substring(F.col("bases"), F.col("chunk_start"), F.lit(size)).alias("bases"))
+    return records.select("kind", "sequence_id", F.inline(cut_chunks(F.col("bases"), size)))
+
+
+def without_orphans(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """Chunks whose sequence is in the index."""
+    return chunks.join(index.select("kind", "sequence_id").distinct(), ["kind", "sequence_id"], "left_semi")
 
 
 def missing_regions(regions: DataFrame, index: DataFrame, *, assembly: str) -> DataFrame:
@@ -49,12 +53,3 @@ def missing_regions(regions: DataFrame, index: DataFrame, *, assembly: str) -> D
     odd = index.filter("kind = 'dna'").select("sequence_id", "length").join(known, ["sequence_id", "length"], "left_anti")
     lengths = regions.groupBy(F.col("name").alias("sequence_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_set("length")), lambda n: n.cast("string")), ", ").alias("candidates"))
     return odd.join(lengths, "sequence_id", "left")
-
-
-def bounds_error(start: Column, end: Column, length: Column, strand: Column, kind: Column) -> Column:
-    """What is wrong with a request for start..end of a sequence; null if nothing is."""
-    return (
-        F.when(length.isNull(), "Sequence is not in the index")
-        .when(~((start >= 1) & (start <= end) & (end <= length)), "Interval outside the sequence")
-        .when((kind == "pep") & (strand != 1), "Peptides have one strand only")
-    )

@@ -52,6 +52,13 @@ def resolved(core: DataFrame, stored: DataFrame | None, supplied: DataFrame | No
     return filled.select("interpro_id", F.coalesce("name", "old_name").alias("name"), F.coalesce("entry_type", "old_type").alias("entry_type"))
 
 
+def used_entries(raw: dict[str, DataFrame]) -> DataFrame:
+    """(interpro_id) that signatures on translations of current transcripts belong to."""
+    current = raw["translation"].join(raw["transcript"].filter("is_current = 1").select("transcript_id"), "transcript_id", "left_semi")
+    hits = raw["protein_feature"].join(current.select("translation_id"), "translation_id", "left_semi").select(F.col("hit_name").alias("id")).distinct()
+    return raw["interpro"].join(hits, "id", "left_semi").select(F.col("interpro_ac").alias("interpro_id")).distinct()
+
+
 def unresolved(used: DataFrame, entries: DataFrame) -> DataFrame:
     """Accessions in use (interpro_id) that have no entry type."""
     return used.select("interpro_id").distinct().join(entries.filter("entry_type is not null"), "interpro_id", "left_anti")
