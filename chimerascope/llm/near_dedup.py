@@ -212,22 +212,23 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return scratch(nodes.join(met, "component", "left").select("node", F.least("component", F.coalesce("lower", "component")).alias("component")), "groups")
 
 
-def _open(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Those of the bucket members rows that may still be linked with a member of another component, with their component; rows may have a reach.
-
-    A member goes where its reach is too short for the smallest set of the bucket, and all
-    members go where they lie in one component.
-    """
+def _open(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The bucket members rows, with their component, of those buckets whose members lie in several; and crowd, how many members a bucket has."""
     rows = _with_component(rows, groups, "node", "component")
-    if "reach" in rows.columns:
-        least = rows.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
-        partner = F.greatest(F.col("least") * 100, F.col("n_shingles") * percent)
-        rows = rows.join(least, "bucket").filter(F.col("reach") * (100 + percent) * 100 >= (F.col("n_shingles") * 100 + partner) * percent).drop("least")
     ends = (F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("crowd"))
     still = rows.groupBy("bucket").agg(*ends).filter("low < high").select("bucket", "crowd")
     return scratch(rows.join(still, "bucket"), "members")
 
 
+def _reaching(rows: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """rows with reach, how many shingles a member may share with any that it hasn't been paired with, without those whose reach is too short even for the smallest set of their bucket."""
+    reach = F.col("n_shingles") - F.coalesce("rare", F.lit(0))
+    rows = rows.join(bounds, "node", "left").withColumn("reach", reach).drop("rare").filter(F.col("reach") * 100 >= F.col("n_shingles") * percent)
+    rows = scratch(rows, "members")
+    least = rows.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
+    return scratch(rows.join(least, "bucket").filter(F.col("reach") * (100 + percent) >= (F.col("n_shingles") + F.col("least")) * percent).drop("least"), "members")
+
+
 def _outlying(left: DataFrame, hubs: int) -> DataFrame:
     """Up to hubs members of each bucket that lie outside its largest component, the most central first."""
     parts = left.groupBy("bucket", "component").agg(F.count("*").alias("n"))
@@ -272,20 +273,19 @@ def link_sets(docs: DataFrame, distinct: DataFrame, groups: DataFrame, *, shingl
     hub = hub.select("bucket", "crowd", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in at])
     stars = _stars(left, hub, (F.col("node") != F.col("hub_node")) & _able("", "hub_", percent, bounded=False))
     groups = _merged(groups, _judged(stars, sets, percent))
-    left = _open(left.drop("crowd"), groups, percent)
+    left = _open(left.drop("crowd"), groups)
     if left.isEmpty():
         return groups
 
     bounds, pairs = _rare_shingles(sets, left, percent)
     groups = _merged(groups, scratch(_confirmed(scratch(pairs, "pairs"), sets, percent), "confirmed"))
-    reach = F.col("n_shingles") - F.coalesce("rare", F.lit(0))
-    left, hubs = _open(left.drop("component", "crowd").join(bounds, "node", "left").withColumn("reach", reach).drop("rare"), groups, percent), HUBS
+    left, hubs = _open(_reaching(left.drop("component", "crowd"), bounds, percent), groups), HUBS
     while not left.isEmpty():
         hub = scratch(_outlying(left, hubs).select("bucket", "crowd", *[F.col(c).alias(f"hub_{c}") for c in (*at, "component", "reach")]), "hubs")
         stars = _stars(left, hub, (F.col("component") != F.col("hub_component")) & _able("", "hub_", percent))
         groups = _merged(groups, _judged(stars, sets, percent))
         was = hub.select("bucket", F.col("hub_node").alias("node"))
-        left, hubs = _open(left.drop("component", "crowd").join(was, ["bucket", "node"], "left_anti"), groups, percent), hubs * HUBS
+        left, hubs = _open(left.drop("component", "crowd").join(was, ["bucket", "node"], "left_anti"), groups), hubs * HUBS
     return groups
 
 
