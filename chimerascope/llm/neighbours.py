@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A fast pseudo-rotation, three rounds of random signs and a Hadamard transform, turns every
-vector; its bucket in a table is the signed axis nearest to the turned vector. Each of
-several tables has its own rotation. A query probes its best few axes in every table, and
-all vectors in those buckets are reranked by the exact inner product in double precision.
+vector; its hash is the signed axis nearest to the turned vector. A bucket of a table is a
+sequence of such hashes, each with a rotation of its own, and the more vectors there are,
+the longer it is. In every table a query probes the buckets that it comes nearest to, by
+the sum of what each axis falls short of the best; how many follows from the share of the
+buckets to look at, which falls with the number of vectors. All vectors in those buckets
+are reranked by the exact inner product in double precision.
 Buckets follow directions, so where norms differ they don't lead to the largest inner
 products, and every query is compared with all vectors instead, block by block. So are
 all queries of a small table, and those whose probes reach too few vectors.
@@ -24,9 +27,14 @@ from pyspark.sql import functions as F
 
 from chimerascope.llm.shared import scratch
 
-#: Neighbouring buckets that one task takes together, and the most of their vectors that it takes on either side.
-ZONE_BUCKETS = 16
+#: The most vectors of neighbouring buckets, a zone, that one task takes on either side.
 BLOCK_ROWS = 8192
+#: A table has so many buckets at least, and no more than so many vectors a bucket.
+LEAST_BUCKETS, BUCKET_ROWS = 2048, 128
+#: The share of the buckets that a query's probes cover, over all tables together, for SHARE_ROWS vectors; with more it falls by SHARE_POWER.
+SHARE, SHARE_ROWS, SHARE_POWER = 0.15, 20_000, 0.4
+#: A query's probes combine so many best axes of each hash.
+PROBED_AXES = 32
 #: So many vectors, or fewer, aren't hashed.
 EXACT_ROWS = 8192
 #: A smaller set of vectors is dealt out in up to SPREAD blocks of SPREAD_ROWS when queries are compared with all of it.
@@ -64,13 +72,52 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.size("v").alias("n"), "v", *[F.xxhash64(F.lit(k), "v").alias(f"k{k}") for k in (1, 2)])
 
 
-def _padded(batches: Iterator[pd.DataFrame], tables: int, seed: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """The rows of each length n, as points padded with zeros to a power of two, and that width's rotations."""
+def hash_length(count: int, axes: int) -> int:
+    """How many hashes make up a bucket."""
+    length = 1
+    while axes**length < max(LEAST_BUCKETS, count / BUCKET_ROWS):
+        length += 1
+    return length
+
+
+def probe_count(count: int, axes: int, tables: int) -> int:
+    """How many buckets of each table a query looks at."""
+    share = SHARE * (max(count, SHARE_ROWS) / SHARE_ROWS) ** -SHARE_POWER
+    return max(6, round(share * axes ** hash_length(count, axes) / tables))
+
+
+def best_buckets(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
+    """The buckets nearest to each row, the nearest first: codes of one axis for each rotation of signs."""
+    short, code = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+    for rotation in signs:
+        scores = axis_scores(x, rotation)
+        axes = np.argsort(-scores, axis=1, kind="stable")[:, : PROBED_AXES if probes > 1 else 1]
+        found = np.take_along_axis(scores, axes, axis=1)
+        short = (short[:, :, None] + (found[:, :1] - found)[:, None, :]).reshape(len(x), -1)
+        code = (code[:, :, None] * scores.shape[1] + axes[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(short, axis=1, kind="stable")[:, :probes]
+        short, code = np.take_along_axis(short, best, axis=1), np.take_along_axis(code, best, axis=1)
+    return code
+
+
+def zones(codes: np.ndarray, count: int, axes: int) -> np.ndarray:
+    """Buckets of one first axis lie in one zone, or sixteen buckets of a single hash."""
+    length = hash_length(count, axes)
+    return codes // (axes ** (length - 1) if length > 1 else 16)
+
+
+def _padded(batches: Iterator[pd.DataFrame], tables: int, seed: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, int]]:
+    """The rows of each length n, a few at a time, as points padded with zeros to a power of two, the rotations of each table, and the number of vectors of that length."""
     for batch in batches:
-        for n, part in batch.groupby("n"):
-            x = np.zeros((len(part), 1 << (int(n) - 1).bit_length()))
-            x[:, :n] = np.stack(part["v"].to_numpy())
-            yield part, x, rotations(tables, x.shape[1], seed)
+        for n, whole in batch.groupby("n"):
+            width, count = 1 << (int(n) - 1).bit_length(), int(whole["count"].iloc[0])
+            length = hash_length(count, 2 * width)
+            signs = rotations(tables * length, width, seed).reshape(tables, length, 3, width)
+            for start in range(0, len(whole), 512):
+                part = whole.iloc[start : start + 512]
+                x = np.zeros((len(part), width))
+                x[:, :n] = np.stack(part["v"].to_numpy())
+                yield part, x, signs, count
 
 
 def _best(scored: DataFrame, most: int) -> DataFrame:
@@ -80,9 +127,7 @@ def _best(scored: DataFrame, most: int) -> DataFrame:
 
 
 def _compared(probe: DataFrame, index: DataFrame, most: int, blocks: Column) -> DataFrame:
-    """(n, q, c, score) of the rows (n, table, bucket, rep, v) of probe with the best of the same n, table and bucket of index; blocks: in how many the index rows of a zone are dealt."""
-    zoned = lambda df: df.withColumn("zone", F.floor(F.col("bucket") / ZONE_BUCKETS).cast("int"))
-    index, probe = zoned(index), zoned(probe)
+    """(n, q, c, score) of the rows (n, table, zone, buckets, rep, v) of probe with the best of index (n, table, zone, bucket, rep, v) in those buckets; blocks: in how many the index rows of a zone are dealt."""
     zone = ["n", "table", "zone"]
     held, asking = index.groupBy(*zone).agg(blocks.cast("int").alias("blocks")), probe.groupBy(*zone).agg(_in_blocks(BLOCK_ROWS).cast("int").alias("parts"))
     grid = held.join(asking, zone)
@@ -93,21 +138,28 @@ def _compared(probe: DataFrame, index: DataFrame, most: int, blocks: Column) ->
 
     def rerank(key: tuple, asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"n": np.empty(0, np.int32), "q": np.empty(0, np.int64), "c": np.empty(0, np.int64), "score": np.empty(0)})]
-        held = {bucket: rows.sort_values("rep") for bucket, rows in held.groupby("bucket")}
-        for bucket, some in asking.groupby("bucket"):
-            if bucket not in held:
-                continue
-            c, reps = np.stack(held[bucket]["v"].to_numpy()).astype(np.float64), held[bucket]["rep"].to_numpy()
-            for start in range(0, len(some), 256):
-                part = some.iloc[start : start + 256]
-                scores = np.einsum("qd,cd->qc", np.stack(part["v"].to_numpy()).astype(np.float64), c)
+        if not len(asking) or not len(held):
+            return out[0]
+        held = held.sort_values(["bucket", "rep"])
+        bucket, reps, c = held["bucket"].to_numpy(), held["rep"].to_numpy(), np.stack(held["v"].to_numpy()).astype(np.float64)
+        names, q = asking["rep"].to_numpy(), np.stack(asking["v"].to_numpy()).astype(np.float64)
+        asks = np.concatenate(asking["buckets"].to_numpy())
+        by = np.repeat(np.arange(len(asking)), [len(b) for b in asking["buckets"]])
+        order = np.argsort(asks, kind="stable")
+        asks, by = asks[order], by[order]
+        for one in np.intersect1d(asks, bucket):
+            (low, high), (first, last) = np.searchsorted(bucket, (one, one + 1)), np.searchsorted(asks, (one, one + 1))
+            for start in range(first, last, 256):
+                rows = by[start : min(start + 256, last)]
+                scores = np.einsum("qd,cd->qc", q[rows], c[low:high])
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                columns = {"q": np.repeat(part["rep"].to_numpy(), top.shape[1]), "c": reps[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()}
+                columns = {"q": np.repeat(names[rows], top.shape[1]), "c": reps[low + top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()}
                 out.append(pd.DataFrame({"n": np.int32(key[0]), **columns}))
-        return pd.concat(out)
+        found = pd.concat(out).sort_values(["q", "score", "c"], ascending=[True, False, True])
+        return found.groupby("q").head(most)
 
-    key, columns = [*zone, "block", "part"], ["bucket", "rep", "v"]
-    asking, held = probe.select(*key, *columns).groupBy(*key), index.select(*key, *columns).groupBy(*key)
+    key = [*zone, "block", "part"]
+    asking, held = probe.select(*key, "buckets", "rep", "v").groupBy(*key), index.select(*key, "bucket", "rep", "v").groupBy(*key)
     return asking.cogroup(held).applyInPandas(rerank, "n int, q long, c long, score double")
 
 
@@ -115,7 +167,7 @@ def _in_blocks(rows: int) -> Column:
     return F.ceil(F.count("*") / rows)
 
 
-def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 24, probes: int = 6, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 24, probes: int | None = None, seed: int = 11) -> DataFrame:
     """The k nearest of every vector whose id is divisible by every: query_id, rank, vec_id, score.
 
     Nearness is the largest inner product on the original vectors; ties go to the smaller
@@ -127,7 +179,8 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
 
     If the norms of a length differ, or it has EXACT_ROWS vectors at most, every query is
     compared with all vectors; else those are whose probes reach fewer than there are to
-    find. So these answers are exact, and the work is such queries times vectors.
+    find. So these answers are exact, and the work is such queries times vectors. probes:
+    buckets of each table that a query looks at, by default those of probe_count.
     """
     rows = scratch(usable(vectors), "vectors")
     if rows.isEmpty():
@@ -143,26 +196,31 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
 
     # One row a length: a table of vectors has few, since it takes the square of their number in components to have more.
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    facts = distinct.groupBy("n").agg(((F.max(square) > 1.001 * F.min(square)) | (F.count("*") <= EXACT_ROWS)).alias("exact"))
+    facts = distinct.groupBy("n").agg(((F.max(square) > 1.001 * F.min(square)) | (F.count("*") <= EXACT_ROWS)).alias("exact"), F.count("*").alias("count"))
     there = ids.select("n", "vec_id").distinct().groupBy("n").agg(F.least(F.count("*"), F.lit(k + 1)).alias("there"))
     facts = scratch(facts.join(there, "n"), "lengths")
-    hashing = distinct.join(F.broadcast(facts.filter("not exact").select("n")), "n", "left_semi")
+    hashing = distinct.join(F.broadcast(facts.filter("not exact").select("n", "count")), "n")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, x, signs in _padded(batches, tables, seed):
-            buckets = np.stack([axis_scores(x, s).argmax(axis=1) for s in signs], axis=1)
-            yield pd.DataFrame({"n": part["n"], "rep": part["rep"], "v": part["v"], "buckets": list(buckets.astype(np.int32))})
+        for part, x, signs, count in _padded(batches, tables, seed):
+            codes = np.concatenate([best_buckets(x, s, 1) for s in signs], axis=1)
+            yield pd.DataFrame({"n": part["n"], "rep": part["rep"], "v": part["v"], "zones": list(zones(codes, count, 2 * x.shape[1]).astype(np.int32)), "buckets": list(codes)})
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, x, signs in _padded(batches, tables, seed):
-            best = np.stack([np.argsort(-axis_scores(x, s), axis=1, kind="stable")[:, :probes] for s in signs], axis=1)
-            yield pd.DataFrame({"n": part["n"], "rep": part["rep"], "v": part["v"], "buckets": [list(b) for b in best.astype(np.int32)]})
+        for part, x, signs, count in _padded(batches, tables, seed):
+            for table, s in enumerate(signs):
+                codes = best_buckets(x, s, probes or probe_count(count, 2 * x.shape[1], tables))
+                rows = pd.DataFrame({"i": np.repeat(np.arange(len(part)), codes.shape[1]), "zone": zones(codes, count, 2 * x.shape[1]).ravel(), "bucket": codes.ravel()})
+                grouped = rows.groupby(["i", "zone"])["bucket"].agg(list).reset_index()
+                own = part.iloc[grouped["i"]]
+                columns = {"zone": grouped["zone"].to_numpy(np.int32), "buckets": grouped["bucket"].to_numpy()}
+                yield pd.DataFrame({"n": own["n"].to_numpy(), "rep": own["rep"].to_numpy(), "v": own["v"].to_numpy(), "table": np.int32(table), **columns})
 
     element = "float" if dict(rows.dtypes)["v"] == "array<float>" else "double"
-    index = hashing.select("n", "rep", "v").mapInPandas(hashed, f"n int, rep long, v array<{element}>, buckets array<int>")
-    index = scratch(index.select("n", "rep", "v", F.posexplode("buckets").alias("table", "bucket")), "vector-index")
-    probe = hashing.filter("asks").select("n", "rep", "v").mapInPandas(asked, f"n int, rep long, v array<{element}>, buckets array<array<int>>")
-    probe = probe.select("n", "rep", "v", F.posexplode("buckets").alias("table", "some")).select("n", "rep", "v", "table", F.explode("some").alias("bucket"))
+    index = hashing.select("n", "rep", "v", "count").mapInPandas(hashed, f"n int, rep long, v array<{element}>, zones array<int>, buckets array<long>")
+    both = F.posexplode(F.arrays_zip(F.col("zones").alias("zone"), F.col("buckets").alias("bucket"))).alias("table", "z")
+    index = scratch(index.select("n", "rep", "v", both).select("n", "rep", "v", "table", "z.zone", "z.bucket"), "vector-index")
+    probe = hashing.filter("asks").select("n", "rep", "v", "count").mapInPandas(asked, f"n int, rep long, v array<{element}>, table int, zone int, buckets array<long>")
     found = scratch(_best(_compared(probe, index, k + 1, _in_blocks(BLOCK_ROWS)), k + 1), "found")
 
     names = distinct.select("n", "rep", "k1", "k2")
@@ -171,9 +229,9 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
     open_ = distinct.filter("asks").select("n", "rep", "v").join(F.broadcast(facts), "n").join(reached, ["n", "rep"], "left")
     open_ = scratch(open_.filter(F.col("exact") | (F.coalesce("reached", F.lit(0)) < F.col("there"))).select("n", "rep", "v"), "open-queries")
     if not open_.isEmpty():
-        flat = lambda df: df.select("n", F.lit(0).alias("table"), F.lit(0).alias("bucket"), "rep", "v")
+        all_of = lambda df: df.select("n", F.lit(0).alias("table"), F.lit(0).alias("zone"), "rep", "v")
         blocks = F.greatest(_in_blocks(BLOCK_ROWS), F.least(_in_blocks(SPREAD_ROWS), F.lit(SPREAD)))
-        found = scratch(_best(found.union(_compared(flat(open_), flat(distinct), k + 1, blocks)), k + 1), "found")
+        found = scratch(_best(found.union(_compared(all_of(open_).withColumn("buckets", F.array(F.lit(0).cast("long"))), all_of(distinct).withColumn("bucket", F.lit(0).cast("long")), k + 1, blocks)), k + 1), "found")
 
     expanded = found.join(members, ["n", "c"]).withColumn("place", F.row_number().over(Window.partitionBy("n", "q").orderBy(F.desc("score"), "vec_id")))
     expanded = expanded.filter(F.col("place") <= k + 1).select("n", "q", "vec_id", "score")
