@@ -29,7 +29,7 @@ _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 
 # Runs of whitespace other than a single space, with the comment signs that begin a line. They are made one character, or two where lines are left blank, so that a line break stays known.
-_WIDE = re.compile(rb"[\x09-\x0d\x20]*[\x09-\x0d][\x09-\x0d\x20]*(?:(?:#+|\*+|/{2,}|;+|--+|>+)[\x09\x20]+)*|\x20{2,}")
+_WIDE = re.compile(rb"[\x09-\x0d\x20]*[\x09-\x0d][\x09-\x0d\x20]*(?:(?:#+|\*+|/{2,}|;+|--+|>+)[\x09-\x0d\x20]+)*|\x20{2,}")
 
 # Families, by hand: label, how its name is written, short names that count only where something is said to be licensed so, keywords of which one is in every match, versions, an example of the name.
 _CC = "cc by|cc-by|cc attr|cc-attr|creative"
@@ -218,7 +218,7 @@ _SENTENCES = (
 _GRANT = r"(?:licen[sc]ed?|released|distributed|available|published|provided|use|shared|contributed|covered)(?: only)? (?:under|by|with) (?:an? |the )?(?:terms (?:and conditions )?of (?:the )?)?"
 # How a licence is named: form, pattern ({name}, {short}: as in the table; a space is a space or a line break), priority, and how sure it is.
 _LEFT, _RIGHT = r"(?<![0-9a-z])", r"(?![0-9a-z])"
-_VERSION = r"(?:,?(?: ?\(?(?:version|ver\.?|v\.?) ?|[ -]\(?)){version}(?![0-9a-z]|\.[0-9])"
+_VERSION = r"(?:,?(?: ?\(?(?:version|ver\.?|v\.?) ?|[\x20-]\(?)){version}(?![0-9a-z]|\.[0-9])"
 _FORMS = (
     ("tag", _LEFT + r"{id}(?![0-9a-z.-])", 40, 1.0),
     ("granted version", r"(?:{short})(?: licen[sc]e)?" + _VERSION, 31, 0.95),
@@ -247,11 +247,11 @@ def _narrow(text: bytes) -> bytes:
     return _WIDE.sub(lambda m: (b" ", b"\n", b"\n\n")[min(m[0].count(b"\n") or m[0].count(b"\r"), 2)], text)
 
 
-def _breakable(pattern: str) -> str:
-    """A pattern whose spaces, those within sets too, also match a line break."""
+def _breakable(pattern: str, gap: str = r"[ \n]") -> str:
+    """A pattern whose spaces, those within sets too, also match a line break, or a gap of another form."""
     parts = re.split(r"(\[(?:\\.|[^\]])*\])", pattern)
     sets = [r"[\n" + part[1:] if " " in part and part[1] != "^" else part for part in parts[1::2]]
-    plain = [part.replace(" ", r"[ \n]") for part in parts[::2]]
+    plain = [part.replace(" ", gap) for part in parts[::2]]
     return "".join(a + b for a, b in zip(plain, [*sets, ""], strict=True))
 
 
@@ -261,7 +261,7 @@ def signature_rules() -> list[Rule]:
     Tags are looked for in licence expressions only, forms with short names where a
     family has some, and versioned forms once for each version.
     """
-    rules = [Rule(label, "sentence", 35, 0.98, (gate.encode(),), re.compile(_breakable(pattern).encode(), re.S)) for label, pattern, gate in _SENTENCES]
+    rules = [Rule(label, "sentence", 35, 0.98, (gate.encode(),), re.compile(_breakable(pattern, r"[ \n]{1,2}").encode(), re.S)) for label, pattern, gate in _SENTENCES]
     for label, name, short, gate, versions, _ in _FAMILIES:
         keywords = tuple(k.encode() for k in gate.split("|"))
         for form, shape, priority, sureness in _FORMS:
