@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chimerascope.llm.shared import WORD, all_columns, scratch, shingle_set, utf8_views
+from chimerascope.llm.shared import WORD, all_columns, scratch, shingle_set, unused_name, utf8_views
 
 #: A shingle that so many sets of a family have at most is rare.
 RARE = 100
@@ -161,9 +161,11 @@ def _rare_shingles(sets: DataFrame, members: DataFrame, percent: int) -> tuple[D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [raw.view(np.int64) for raw in map(np.copy, utf8_views(batch.column(1)))]
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *own]))], names=["node", "shingle"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                own = [raw.view(np.int64) for raw in map(np.copy, utf8_views(part.column(1)))]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *own]))], names=["node", "shingle"])
 
     first = members.groupBy("bucket").agg(F.min("node").alias("a"))
     families = components(members.join(first, "bucket").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "family")
@@ -350,15 +352,15 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80
     distinct = distinct_sets(table)
     label = _labelled(distinct, link_sets(docs, distinct, _no_groups(docs), shingle=shingle, percent=percent))
     best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "digest")).alias("w")
-    winners = label.groupBy("component").agg(best).select(F.col("w.low").alias("w_id"), F.col("w.digest").alias("w_digest"))
+    of, low = unused_name(docs, "digest"), unused_name(docs, "low")
+    winners = label.groupBy("component").agg(best).select(F.col("w.low").alias(low), F.col("w.digest").alias(of))
 
     @F.arrow_udf("binary")
     def digest_of(texts: pa.Array) -> pa.Array:
         return pa.array([_digest(shingle_set(raw, shingle)) for raw in utf8_views(texts)], pa.binary())
 
-    has_word = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
-    row = docs.select(F.col("doc_id").cast("long").alias("w_row_id"), F.col("text").cast("string").alias("w_text"), F.struct(*all_columns(docs)).alias("w_row"))
-    row = row.filter(F.coalesce(F.col("w_text").rlike(WORD), F.lit(False))).withColumn("w_digest", digest_of("w_text"))
-    kept = row.join(winners, "w_digest").filter(F.col("w_row_id").eqNullSafe(F.col("w_id")))
-    one = kept.groupBy("w_digest").agg(F.min_by("w_row", "w_text").alias("w_row"))
-    return one.select("w_row.*").unionAll(docs.filter(~has_word))
+    text = F.col("text").cast("string")
+    has_word = F.coalesce(text.rlike(WORD), F.lit(False))
+    kept = docs.filter(has_word).withColumn(of, digest_of(text)).join(winners, of).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(low)))
+    one = kept.groupBy(of).agg(F.min_by(F.struct(*all_columns(docs)), text).alias("kept_row"))
+    return one.select("kept_row.*").unionAll(docs.filter(~has_word))

@@ -68,7 +68,7 @@ def test_rows_that_share_an_id(spark):
     x, y = family(1, 1)[0], family(2, 1)[0]
     rows = [(1, x), (5, x), (5, y), (9, y + " end")]
     assert set(found(spark, rows).values()) == {1}
-    table = spark.createDataFrame([(*r, "n", "d", "w") for r in rows], "doc_id long, text string, __node string, digest string, w_row string")
+    table = spark.createDataFrame([(*r, "n", "d", "w") for r in rows], "doc_id long, text string, low string, digest string, kept_row string")
     left = near_dedup.drop_near_duplicates(table)
     assert left.columns == table.columns
     assert sorted(tuple(r) for r in left.collect()) == [(1, x, "n", "d", "w"), (5, y, "n", "d", "w")]
