@@ -37,6 +37,9 @@ def build_lake(
         raw[name] = build.stage(f"raw_{name}", lambda name=name: dump.read_table(spark, f"{source}/{name}.txt*", schema[name]))
     records = build.stage("seq_records", lambda: fasta.read_fasta(spark, f"{source}/{dna}", "dna").union(fasta.read_fasta(spark, f"{source}/{peptides}", "pep")))
     index = build.stage("seq_index", lambda: records.drop("bases"))
+    absent = {"dna", "pep"} - {r["kind"] for r in index.select("kind").distinct().collect()}
+    if absent:
+        raise ValueError(f"No sequences of kind {', '.join(sorted(absent))}")
     chunks = build.stage("seq_chunks", lambda: fasta.without_orphans(fasta.chunked(records, chunk), index))
     regions = raw["seq_region"].join(raw["coord_system"].select("coord_system_id", "version"), "coord_system_id")
     odd = fasta.missing_regions(regions, index, assembly=assembly).head()
