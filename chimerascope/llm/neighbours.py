@@ -137,9 +137,9 @@ def _compared(probe: DataFrame, index: DataFrame, most: int, blocks: Column) ->
     probe = probe.join(grid, zone).withColumn("part", own("parts")).withColumn("block", each("blocks"))
 
     def rerank(key: tuple, asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"n": np.empty(0, np.int32), "q": np.empty(0, np.int64), "c": np.empty(0, np.int64), "score": np.empty(0)})]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if not len(asking) or not len(held):
-            return out[0]
+            return pd.DataFrame({"n": np.empty(0, np.int32), "q": found[0][0], "c": found[0][1], "score": found[0][2]})
         held = held.sort_values(["bucket", "rep"])
         bucket, reps, c = held["bucket"].to_numpy(), held["rep"].to_numpy(), np.stack(held["v"].to_numpy()).astype(np.float64)
         names, q = asking["rep"].to_numpy(), np.stack(asking["v"].to_numpy()).astype(np.float64)
@@ -149,14 +149,17 @@ def _compared(probe: DataFrame, index: DataFrame, most: int, blocks: Column) ->
         asks, by = asks[order], by[order]
         for one in np.intersect1d(asks, bucket):
             (low, high), (first, last) = np.searchsorted(bucket, (one, one + 1)), np.searchsorted(asks, (one, one + 1))
-            for start in range(first, last, 256):
+            for start in range(int(first), int(last), 256):
                 rows = by[start : min(start + 256, last)]
                 scores = np.einsum("qd,cd->qc", q[rows], c[low:high])
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                columns = {"q": np.repeat(names[rows], top.shape[1]), "c": reps[low + top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()}
-                out.append(pd.DataFrame({"n": np.int32(key[0]), **columns}))
-        found = pd.concat(out).sort_values(["q", "score", "c"], ascending=[True, False, True])
-        return found.groupby("q").head(most)
+                found.append((np.repeat(names[rows], top.shape[1]), reps[low + top].ravel(), np.take_along_axis(scores, top, axis=1).ravel()))
+        asked, near, score = (np.concatenate(part) for part in zip(*found, strict=True))
+        order = np.lexsort((near, -score, asked))
+        asked, near, score = asked[order], near[order], score[order]
+        place = np.arange(len(asked)) - np.searchsorted(asked, asked)
+        best = place < most
+        return pd.DataFrame({"n": np.int32(key[0]), "q": asked[best], "c": near[best], "score": score[best]})
 
     key = [*zone, "block", "part"]
     asking, held = probe.select(*key, "buckets", "rep", "v").groupBy(*key), index.select(*key, "bucket", "rep", "v").groupBy(*key)
