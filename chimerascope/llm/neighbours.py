@@ -91,7 +91,7 @@ def best_buckets(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
     short, code = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
     for rotation in signs:
         scores = axis_scores(x, rotation)
-        axes = np.argsort(-scores, axis=1, kind="stable")[:, : PROBED_AXES if probes > 1 else 1]
+        axes = np.argsort(-scores, axis=1, kind="stable")[:, :PROBED_AXES] if probes > 1 else scores.argmax(axis=1)[:, None]
         found = np.take_along_axis(scores, axes, axis=1)
         short = (short[:, :, None] + (found[:, :1] - found)[:, None, :]).reshape(len(x), -1)
         code = (code[:, :, None] * scores.shape[1] + axes[:, None, :]).reshape(len(x), -1)
