@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chimerascope.llm import chat, decontaminate, language, licenses, mixing, near_dedup, neighbours, pii, quality, secrets
+from chimerascope.llm import chat, decontaminate, infill, language, licenses, mixing, near_dedup, neighbours, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pii, op2_quality, op3_near_dedup, op4_language, op5_neighbours, op6_chat, op7_secrets, op8_mixing, op9_licenses, op10_decontaminate)
+    every = (op1_pii, op2_quality, op3_near_dedup, op4_language, op5_neighbours, op6_chat, op7_secrets, op8_mixing, op9_licenses, op10_decontaminate, op11_infill)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op6_chat": chat.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_infill": infill.ORACLE}
