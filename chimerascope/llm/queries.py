@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chimerascope.llm import chat, decontaminate, infill, language, licenses, line_dedup, mixing, near_dedup, neighbours, pii, quality, secrets
+from chimerascope.llm import chat, decontaminate, infill, language, licenses, line_dedup, mixing, near_dedup, neighbours, pii, quality, secrets, spelling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +63,14 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pii, op2_quality, op3_near_dedup, op4_language, op5_neighbours, op6_chat, op7_secrets, op8_mixing, op9_licenses, op10_decontaminate, op11_infill, op12_line_dedup)
+    every = (op1_pii, op2_quality, op3_near_dedup, op4_language, op5_neighbours, op6_chat, op7_secrets, op8_mixing, op9_licenses, op10_decontaminate, op11_infill, op12_line_dedup, op13_spelling)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_infill": infill.ORACLE, "op12_line_dedup": line_dedup.ORACLE}
+    return {"op6_chat": chat.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_infill": infill.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_spelling": spelling.ORACLE}
