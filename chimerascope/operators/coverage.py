@@ -1,27 +1,30 @@
-"""Interval coverage and runs over tables of any number of rows per key, by windows."""
+"""Interval coverage, runs and ranks over tables of any number of rows per key."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chimerascope.operators.scan import BLOCK, in_blocks, with_before
 
-def covered_by_key(rows: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """keys and covered: how many positions lie in at least one of a key's inclusive intervals; touching ones count once."""
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.max(end).over(before)
-    new = F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(start), F.coalesce(reached + 1, F.col(start))) + 1)
-    return rows.withColumn("__new", new).groupBy(*keys).agg(F.sum("__new").alias("covered"))
 
+def covered_by_key(rows: DataFrame, keys: Sequence[str], start: str, end: str, *, blocks: int | None = None) -> DataFrame:
+    """keys and covered: how many positions lie in at least one of a key's inclusive intervals; touching ones count once. A key's intervals may be spread over all blocks."""
+    distinct = in_blocks(rows.select(*keys, start, end).distinct(), keys, [start, end], blocks=blocks)
+    placed = with_before(distinct, keys, [start, end], {"__reached": ("max", F.col(end))})
+    new = F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(start), F.coalesce(F.col("__reached") + 1, F.col(start))) + 1)
+    return placed.withColumn("__new", new).groupBy(*keys).agg(F.sum("__new").alias("covered"))
 
-def numbered_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str) -> DataFrame:
-    """rows with run, the number from 1 of the stretch of equal kinds that each lies in."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    same = (F.row_number().over(window) > 1) & F.lag(kind).over(window).eqNullSafe(F.col(kind))
-    changed = F.when(same, 0).otherwise(1)
-    return rows.withColumn("__new", changed).withColumn("run", F.sum("__new").over(window)).drop("__new")
+
+def numbered_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str, *, blocks: int | None = None) -> DataFrame:
+    """rows with run, the number from 1 of the stretch of equal kinds that each lies in; the order is total within a key. A key's rows may be spread over all blocks."""
+    placed = with_before(in_blocks(rows, keys, order, blocks=blocks), keys, order, {"__previous": ("last", F.struct(F.col(kind).alias("kind")))})
+    same = F.col("__previous").isNotNull() & F.col("__previous.kind").eqNullSafe(F.col(kind))
+    changed = placed.withColumn("__new", F.when(same, 0).otherwise(1))
+    counted = with_before(changed, keys, order, {"run": ("sum", F.col("__new"))})
+    return counted.withColumn("run", F.coalesce("run", F.lit(0)) + F.col("__new")).drop("__new", "__previous", BLOCK)
 
 
 def nearest_rank(value: str, share: float) -> Column:

@@ -35,12 +35,12 @@ def build_lake(
     raw: dict[str, DataFrame] = {}
     for name in tables:
         raw[name] = build.stage(f"raw_{name}", lambda name=name: dump.read_table(spark, f"{source}/{name}.txt*", schema[name]))
-    records = build.stage("seq_records", lambda: fasta.read_fasta(spark, f"{source}/{dna}", "dna").union(fasta.read_fasta(spark, f"{source}/{peptides}", "pep")))
-    index = build.stage("seq_index", lambda: records.drop("bases"))
+    records = build.stage("seq_records", lambda: fasta.read_chunks(spark, f"{source}/{dna}", "dna", chunk).union(fasta.read_chunks(spark, f"{source}/{peptides}", "pep", chunk)))
+    index = build.stage("seq_index", lambda: fasta.index(records))
     absent = {"dna", "pep"} - {r["kind"] for r in index.select("kind").distinct().collect()}
     if absent:
         raise ValueError(f"No sequences of kind {', '.join(sorted(absent))}")
-    chunks = build.stage("seq_chunks", lambda: fasta.without_orphans(fasta.chunked(records, chunk), index))
+    chunks = build.stage("seq_chunks", lambda: fasta.without_orphans(records.select("kind", "sequence_id", "chunk_start", "bases"), index))
     regions = raw["seq_region"].join(raw["coord_system"].select("coord_system_id", "version"), "coord_system_id")
     odd = fasta.missing_regions(regions, index, assembly=assembly).head()
     if odd is not None:
@@ -52,7 +52,7 @@ def build_lake(
         raise ValueError(f"Entries in use without a type: {', '.join(untyped)}")
     found, imported = None, {}
     if curated:
-        held = records.filter("kind = 'pep'").select("sequence_id", "stable_id", "bases")
+        held = fasta.whole(records.filter("kind = 'pep'"))
         links = uniprot.cross_references(raw)
         chosen = build.stage("curated_entries", lambda: uniprot.read_entries(spark, curated))
         isoforms = build.stage("isoforms", lambda: uniprot.proteins(chosen))

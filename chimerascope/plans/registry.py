@@ -14,7 +14,7 @@ from chimerascope.plans import pseudo, report
 from chimerascope.plans.annotate import annotate
 from chimerascope.plans.models import source_counts
 from chimerascope.plans.pseudo import table
-from chimerascope.plans.staging import staged
+from chimerascope.plans.staging import staged, staged_path
 from chimerascope.sources import fasta, lake
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,6 +251,24 @@ def chunk_fetch(spark, sf_dir):
     return joins.fetch(requests, chunks, size=64)
 
 
+def _as_fasta(spark, sf_dir) -> str:
+    """The bases of the documents as FASTA files of 60 letters a line; the files' path."""
+    wrapped = F.array_join(F.regexp_extract_all("bases", F.lit("[ACGT]{1,60}"), F.lit(0)), "\n")
+    path = staged_path(spark, "fasta")
+    pseudo.bases(spark, sf_dir).select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" bases of a document\n"), wrapped)).write.text(path)
+    return path
+
+
+@_query(f"WITH {_BASES}, c AS (SELECT doc_id, bases, unnest(range(0, length(bases), 100)) AS o FROM bases) SELECT CAST(doc_id AS VARCHAR) AS sequence_id, CAST(o + 1 AS INTEGER) AS chunk_start, substr(bases, o + 1, 100) AS bases FROM c")
+def fasta_chunks(spark, sf_dir):
+    return fasta.read_chunks(spark, _as_fasta(spark, sf_dir), "dna", 100).select("sequence_id", "chunk_start", "bases")
+
+
+@_query(f"WITH {_BASES} SELECT CAST(doc_id AS VARCHAR) AS sequence_id, doc_id || ' bases of a document' AS header, CAST(length(bases) AS INTEGER) AS length, sha256(bases) AS sha256 FROM bases")
+def fasta_index(spark, sf_dir):
+    return fasta.index(fasta.read_chunks(spark, _as_fasta(spark, sf_dir), "dna", 100)).select("sequence_id", "header", "length", "sha256")
+
+
 @_query(
     _CDS + """,
 kp AS (SELECT *, CAST(sum(length) OVER (PARTITION BY tx ORDER BY rank) AS INTEGER) - length + 1 AS p_start FROM blocks WHERE part % 5 <> 0),

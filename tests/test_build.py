@@ -277,10 +277,10 @@ def test_dump_rows(spark, tmp_path):
 def test_fasta_checks(spark, tmp_path):
     (tmp_path / "bad.fa").write_text(">x\nACGZ\n")
     with pytest.raises(Exception, match="alphabet"):
-        fasta.read_fasta(spark, f"{tmp_path}/bad.fa", "dna").collect()
+        fasta.index(fasta.read_chunks(spark, f"{tmp_path}/bad.fa", "dna")).collect()
     (tmp_path / "empty.fa").write_text(">x\n>y\nAC\n")
     with pytest.raises(Exception, match="Empty FASTA"):
-        fasta.read_fasta(spark, f"{tmp_path}/empty.fa", "dna").collect()
+        fasta.index(fasta.read_chunks(spark, f"{tmp_path}/empty.fa", "dna")).collect()
 
 
 def test_history_fills_missing_types_only(spark):
