@@ -106,7 +106,8 @@ def retained_clip(spark, sf_dir):
 
 def _aa(models: DataFrame) -> DataFrame:
     """A protein interval of each transcript of six coding bases or more, as CDS bases."""
-    rows = models.withColumn("residues", F.floor(structure.cds_length(F.col("cds_blocks")) / 3).cast("int")).filter("residues >= 2")
+    rows = structure.settled(models, *[c for c in ("cds_blocks", "kept_start", "kept_end") if c in models.columns])
+    rows = structure.settled(rows.withColumn("residues", F.floor(structure.cds_length(F.col("cds_blocks")) / 3).cast("int")), "residues").filter("residues >= 2")
     return rows.withColumns({"aa_start": (1 + F.col("transcript_id") % F.col("residues")).cast("int"), "aa_end": F.least(F.col("residues"), (1 + F.col("transcript_id") % F.col("residues") + 9).cast("int"))})
 
 
@@ -211,8 +212,8 @@ def splice_patterns(spark, sf_dir):
     ends = lines.groupBy("transcript_id").agg(F.max("rank").alias("n"))
     rows = lines.join(ends, "transcript_id").select("transcript_id", F.array(F.when(F.col("rank") > 1, acceptor), F.when(F.col("rank") < F.col("n"), donor)).alias("s"))
     grouped = rows.groupBy("transcript_id").agg(F.array_sort(F.array_compact(F.flatten(F.collect_list("s")))).alias("sites"))
-    grouped = grouped.withColumn("site_runs", splicing.site_runs(F.col("sites")))
-    return grouped.select("transcript_id", F.size("site_runs").cast("long").alias("runs"), F.size(splicing.splice_patterns(F.transform("site_runs", lambda run: F.transform(run, lambda s: s["position"])))).cast("long").alias("patterns"))
+    grouped = structure.settled(grouped.withColumn("site_runs", splicing.site_runs(F.col("sites"))), "site_runs")
+    return grouped.select("transcript_id", F.size("site_runs").cast("long").alias("runs"), splicing.pattern_count(F.col("site_runs")).cast("long").alias("patterns"))
 
 
 _BASES = "bases AS (SELECT * FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS bases FROM documents) q WHERE length(bases) >= 3)"
@@ -305,7 +306,7 @@ def feature_group_first_nonnull(spark, sf_dir):
     fields = [given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in schemas.feature_fields()]
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("event_id"), F.lit("T").alias("transcript_id"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("slot"), F.lit(0).alias("ord"), F.struct(*fields).alias("f"),
-        F.lit("included").alias("breakpoint_status"), F.col("l_quantity").alias("retained_percent"), F.when(F.col("l_quantity") > 10, "preserved").otherwise("lost").alias("splicing_status"), F.lit(None).cast("string").alias("translation_status"),
+        F.lit("included").alias("breakpoint_status"), F.col("l_quantity").alias("retained_percent"), F.array(F.when(F.col("l_quantity") > 10, "preserved").otherwise("lost")).alias("splicing_statuses"), F.array().cast("array<string>").alias("translation_statuses"),
     )
     groups = features.grouped_features(rows)
     return groups.select(F.col("event_id").alias("l_partkey"), F.col("first_name").alias("first_flag"), F.col("breakpoint_retained_percent").alias("most"), F.array_join("feature_ids", ",").alias("suppliers"), F.col("post_splicing_status").alias("splicing"))
