@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chimerascope.operators.scan import BLOCK, in_blocks, with_before
@@ -27,6 +27,28 @@ def numbered_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ki
     return counted.withColumn("run", F.coalesce("run", F.lit(0)) + F.col("__new")).drop("__new", "__previous", BLOCK)
 
 
-def nearest_rank(value: str, share: float) -> Column:
-    """The smallest value that at least that share of the rows doesn't exceed."""
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
+def at_ranks(rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]], *, blocks: int | None = None) -> DataFrame:
+    """keys and, for each name, the value at a rank (from 1) among the key's non-null values in order; ranks: from their number to the rank wanted.
+
+    Equal values are counted first. Ranges of values then tell by their counts which of them
+    holds a rank, and only there values are counted through; so the values of a key may be
+    spread over all blocks, and no task holds them together.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    held = in_blocks(counted, keys, [value], blocks=blocks)
+    sizes = held.groupBy(*keys, BLOCK).agg(F.sum("__n").alias("__own"))
+    ahead = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"__before": F.coalesce(F.sum("__own").over(ahead), F.lit(0)), "__all": F.sum("__own").over(Window.partitionBy(*keys))})
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), of(F.col("__all")).cast("long").alias("rank")) for name, of in ranks.items()])
+    sizes = sizes.withColumn("__w", F.explode(wanted)).filter((F.col("__w.rank") > F.col("__before")) & (F.col("__w.rank") <= F.col("__before") + F.col("__own")))
+    targets = sizes.select(*[F.col(k).alias(f"__{k}") for k in (*keys, BLOCK)], F.col("__w.name").alias("__name"), (F.col("__w.rank") - F.col("__before")).alias("__rank"))
+    within = Window.partitionBy(*keys, BLOCK).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = held.withColumn("__upto", F.sum("__n").over(within))
+    met = local.join(targets, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, BLOCK)])
+    met = met.filter((F.col("__rank") <= F.col("__upto")) & (F.col("__rank") > F.col("__upto") - F.col("__n")))
+    return met.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col(value))).alias(name) for name in ranks])
+
+
+def nearest_rank(n: Column, percent: int) -> Column:
+    """The rank of the smallest of n values that at least percent of them don't exceed."""
+    return F.floor((n * percent + 99) / 100)

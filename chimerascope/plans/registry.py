@@ -159,6 +159,19 @@ def interval_overlap_join(spark, sf_dir):
     return met.select("transcript_id", "exon", "other", (F.least("b", "pre_end") - F.greatest("a", "pre_start") + 1).alias("shared"))
 
 
+@_query(
+    """WITH r AS (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(CASE WHEN event_id % 50 = 0 THEN value * 40 ELSE value END) AS BIGINT) AS e FROM events)
+SELECT a.event_id, b.event_id AS other, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS shared FROM r a JOIN r b ON a.event_type = b.event_type AND a.event_id < b.event_id AND a.s <= b.e AND b.s <= a.e"""
+)
+def dense_overlap_join(spark, sf_dir):
+    """Events as intervals of short and long duration, few keys for all of them: all pairs of a type that overlap."""
+    start = F.unix_timestamp("ts")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", start.alias("s"), (start + F.floor(F.when(F.col("event_id") % 50 == 0, F.col("value") * 40).otherwise(F.col("value")))).alias("e"))
+    other = rows.select(F.col("event_id").alias("other"), "event_type", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    met = joins.overlapping(rows, other, ["event_type"], left_bounds=("s", "e"), right_bounds=("s2", "e2")).filter("event_id < other")
+    return met.select("event_id", "other", (F.least("e", "e2") - F.greatest("s", "s2") + 1).alias("shared"))
+
+
 @_query(
     """SELECT user_id, CAST(sum(greatest(0, e - greatest(s, coalesce(m + 1, s)) + 1)) AS BIGINT) AS covered FROM (
   SELECT user_id, s, e, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chimerascope import schemas
-from chimerascope.operators.coverage import nearest_rank
+from chimerascope.operators.coverage import at_ranks, nearest_rank
 from chimerascope.sources.lake import Store
 
 
@@ -26,10 +26,12 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def summary(timings: DataFrame) -> DataFrame:
     """One row for each operation and phase of timings (operation, phase, ok, wall, cpu): successes, errors, sums of both times, median, nearest-rank 95th percentile and maximum of the wall time."""
-    return timings.groupBy("operation", "phase").agg(
-        F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("errors"), F.sum("wall").alias("wall"), F.sum("cpu").alias("cpu"), F.median("wall").alias("median"),
-        nearest_rank("wall", 0.95).alias("p95"), F.max("wall").alias("max"),
-    )
+    keys = ["operation", "phase"]
+    counts = timings.groupBy(*keys).agg(F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("errors"), F.sum("wall").alias("wall"), F.sum("cpu").alias("cpu"), F.max("wall").alias("max"))
+    middle = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1, "p95": lambda n: nearest_rank(n, 95)}
+    ranks = at_ranks(timings, keys, "wall", middle).withColumn("median", 0.5 * F.col("low") + 0.5 * F.col("high")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    met = counts.join(ranks, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    return met.select(*keys, "successes", "errors", "wall", "cpu", "median", "p95", "max")
 
 
 def slowest(timings: DataFrame, *, n: int = 5, tie: str) -> DataFrame:
