@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chimerascope.plans.models import check_models, source_label, transcript_models, with_sequences
 from chimerascope.sources import dump, fasta, interpro, panther, uniprot
-from chimerascope.sources.lake import Build, Lake, file_fingerprint
+from chimerascope.sources.lake import SPECIES, Build, Lake, file_fingerprint
 
 REQUIRED = ("transcript", "translation", "exon", "exon_transcript", "seq_region", "coord_system", "analysis", "protein_feature", "interpro", "xref")
 OPTIONAL = ("object_xref", "external_db")
@@ -16,13 +19,15 @@ def build_lake(
     spark: SparkSession, source: str, out: str, *, release: str, ddl: str = "schema.sql", dna: str = "dna.fa", peptides: str = "pep.fa", entries: str | None = None,
     history: dict[str, str] | None = None, classes: str | None = None, curated: str | None = None, assembly: str = "GRCh38", chunk: int = fasta.CHUNK, replace: bool = False,
 ) -> Lake:
-    """Builds and publishes the lake of one release; an interrupted build goes on where it stopped if settings and files are the same, by their content.
+    """Builds and publishes the lake of one release; an interrupted build goes on where it stopped if settings and files are the same, by their content. A second build of the same lake at the same time is an error.
 
     source holds the DDL, one dump file <table>.txt (or .txt.gz) for each table, and the
     FASTA files. classes may hold {release}, which stands for the one release of the
     family classes that the analyses name. Integrated entries that current translations
     use must have a type in the entry list or in the history, newest version first.
     """
+    if not re.fullmatch("[1-9][0-9]*", release):
+        raise ValueError(f"The release must be a positive number: {release}")
     schema = dump.read_schema(spark, f"{source}/{ddl}")
     lacking = [t for t in REQUIRED if t not in schema]
     if lacking:
@@ -30,11 +35,22 @@ def build_lake(
     tables = (*REQUIRED, *(t for t in OPTIONAL if t in schema))
     read = {"dna": f"{source}/{dna}", "peptides": f"{source}/{peptides}", "ddl": f"{source}/{ddl}", "entries": entries, "curated": curated, **{f"history {v}": path for v, path in (history or {}).items()}}
     read |= {t: f"{source}/{t}.txt*" for t in tables}
+    read["classes"] = classes and classes.replace("{release}", "*")
     prints = {name: file_fingerprint(spark, path) for name, path in read.items()}
-    build = Build(spark, out, {"release": release, "assembly": assembly, "chunk": chunk, "classes": classes, "files": prints})
+    settings = {"release": release, "assembly": assembly, "chunk": chunk, "classes": classes, "files": prints}
+    with Build(spark, out, settings, replace=replace) as build:
+        return _built(spark, build, source, schema, tables, release=release, dna=dna, peptides=peptides, entries=entries, history=history, classes=classes, curated=curated, assembly=assembly, chunk=chunk)
+
+
+def _built(
+    spark: SparkSession, build: Build, source: str, schema: dict, tables: tuple[str, ...], *, release: str, dna: str, peptides: str, entries: str | None, history: dict[str, str] | None,
+    classes: str | None, curated: str | None, assembly: str, chunk: int,
+) -> Lake:
     raw: dict[str, DataFrame] = {}
     for name in tables:
         raw[name] = build.stage(f"raw_{name}", lambda name=name: dump.read_table(spark, f"{source}/{name}.txt*", schema[name]))
+    if raw["coord_system"].filter(F.col("version") == assembly).isEmpty():
+        raise ValueError(f"The source has no coordinate system of {assembly}")
     records = build.stage("seq_records", lambda: fasta.read_chunks(spark, f"{source}/{dna}", "dna", chunk).union(fasta.read_chunks(spark, f"{source}/{peptides}", "pep", chunk)))
     index = build.stage("seq_index", lambda: fasta.index(records))
     absent = {"dna", "pep"} - {r["kind"] for r in index.select("kind").distinct().collect()}
@@ -64,4 +80,4 @@ def build_lake(
     bare = build.stage("structures", lambda: transcript_models(raw, index, named, curated=found, classes=families, assembly=assembly))
     counts = check_models(bare)
     build.stage("models", lambda: with_sequences(bare, chunks, size=chunk))
-    return build.finish({"release": release, "assembly": assembly, "chunk": str(chunk), **{f"n_{k}": str(v) for k, v in counts.items()}, **imported}, replace=replace)
+    return build.finish({"release": release, "species": SPECIES, "assembly": assembly, "chunk": str(chunk), **{f"n_{k}": str(v) for k, v in counts.items()}, **imported})

@@ -211,7 +211,7 @@ def test_export_and_install(spark, lake, tmp_path):
     changed.write.mode("overwrite").parquet(f"{tmp_path}/damaged/entries")
     with pytest.raises(ValueError, match="entries .* changed"):
         install(spark, f"{tmp_path}/damaged", f"{tmp_path}/release-9")
-    assert not Store(spark).exists(f"{tmp_path}/release-9")
+    assert not lakes.committed(Store(spark), f"{tmp_path}/release-9")
 
 
 def test_resume_only_with_the_same_files(spark, source, lake, tmp_path):
@@ -322,3 +322,29 @@ def test_one_class_release(spark):
     for bad in ([("17.0",), ("18.0",)], [("v17",)], [(None,)]):
         with pytest.raises(ValueError):
             panther.release(spark.createDataFrame(bad, kinds))
+
+
+def test_domains_of_transcripts(spark, lake):
+    ids = spark.createDataFrame([("ENST00000000022.2",), ("ENST00000000025",)], "transcript_id string")
+    rows = lake.protein_domains(ids).collect()
+    assert {r["feature_id"] for r in rows if r["error"] is None} == {"SIG1", "inner"}
+    assert [r["asked_id"] for r in rows if r["error"] is not None] == ["ENST00000000025"]
+    assert lakes.protein_domains(spark, "ENST00000000022", lake.path)["version"] == 2
+
+
+def test_changed_classes_are_read_anew(spark, source, tmp_path):
+    own = tmp_path / "source"
+    shutil.copytree(source, own)
+    untyped = settings(own) | {"entries": f"{own}/untyped.tsv"}
+    prints = lambda: json.loads((tmp_path / "out/snapshots/000001/settings").read_text())["files"]["classes"]
+    with pytest.raises(ValueError, match="IPR000011"):
+        build_lake(spark, str(own), f"{tmp_path}/out", **untyped)
+    before = prints()
+    (own / "families-17.0.tsv").write_text((own / "families-17.0.tsv").read_text().replace("Seventh", "Other"))
+    with pytest.raises(ValueError, match="IPR000011"):
+        build_lake(spark, str(own), f"{tmp_path}/out", **untyped)
+    assert prints() != before
+    with pytest.raises(ValueError, match="positive"):
+        build_lake(spark, str(own), f"{tmp_path}/out", **settings(own) | {"release": "x"})
+    with pytest.raises(ValueError, match="coordinate system"):
+        build_lake(spark, str(own), f"{tmp_path}/other", **settings(own) | {"assembly": "T2T"})
