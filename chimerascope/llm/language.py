@@ -94,16 +94,20 @@ def train(docs: DataFrame, *, per_language: int = 2_000, length: int = PROFILE_L
     """Profiles of the non-null languages of docs, learned outside the held-out fold.
 
     Each profile counts the whole texts of about per_language documents (all, where there
-    are fewer), drawn by a hash of doc_id. More than MOST_LANGUAGES values of lang
-    are an error. An empty table, or one without languages, gives empty profiles.
+    are fewer), drawn by a hash of doc_id and text; equal ones count once. The document
+    of the smallest hash is always drawn, so every language is learned. More than
+    MOST_LANGUAGES values of lang are an error. An empty table, or one without languages,
+    gives empty profiles.
     """
     n, fold = held_out
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), n) != fold))
-    shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 53) - 1)).alias("hash"))
+    shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.approx_count_distinct("hash")).alias("share"), F.min("hash").alias("least"))
     shares = scratch(shares, "languages")
     if shares.count() > MOST_LANGUAGES:
         raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
-    drawn = usable.join(F.broadcast(shares), "lang").filter(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) < F.col("share") * F.lit(float(1 << 53)))
+    drawn = usable.join(F.broadcast(shares), "lang").filter((F.col("hash") < F.col("share") * F.lit(float(1 << 53))) | (F.col("hash") == F.col("least")))
+    drawn = drawn.groupBy("lang", "hash").agg(F.min("text").alias("text"))
     letters = letter_table()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
