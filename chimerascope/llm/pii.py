@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chimerascope.llm.shared import scratch
-from chimerascope.llm.spans import count_kind, digest_text, digits, find, passes_luhn, places, valid_address
+from chimerascope.llm.spans import clear_of, count_kind, digest_text, digits, find, let, passes_luhn, pieces, places, valid_address, window
 
 # Kinds, the base ones first, in the order that breaks ties.
 KINDS = ("email", "ip", "card", "phone", "local_phone", "ssn", "iban", "written_email", "person", "street")
@@ -81,8 +81,7 @@ def base_spans(text: Column) -> Column:
 
 def _further_spans(text: Column, base: Column) -> Column:
     """Candidates of the further kinds that don't overlap a base span."""
-    found = F.concat(*[find(text, pattern, KINDS.index(kind)) for kind, pattern in _FURTHER])
-    return F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return clear_of(F.concat(*[find(text, pattern, KINDS.index(kind)) for kind, pattern in _FURTHER]), base)
 
 
 def _fields(s: Column) -> list[Column]:
@@ -93,13 +92,13 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _votes(text: Column, spans: Column) -> Column:
-    """The place of each span with its votes (1 for, -1 against, 0 silent) in the order of LABELERS, and its traits."""
+def _votes(parts: Column, spans: Column) -> Column:
+    """Of the text whose pieces parts are: the place of each span with its votes (1 for, -1 against, 0 silent) in the order of LABELERS, and its traits."""
 
     def judged(s: Column, i: Column) -> Column:
         hit, kind = s["hit"], s["kind"]
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        after = F.substring(text, s["end"] + 1, F.lit(CONTEXT // 2))
+        before = window(parts, F.greatest(s["start"] - CONTEXT, F.lit(0)), F.least(s["start"], F.lit(CONTEXT)))
+        after = window(parts, s["end"], F.lit(CONTEXT // 2))
         number = digits(hit)
         is_kind = lambda *names: kind.isin(*[KINDS.index(x) for x in names])
         form_no = is_kind("ssn") & hit.rlike("^(?:000|666|9)|-00-|-0000$") | is_kind("local_phone") & number.rlike("^[01]")
@@ -148,9 +147,10 @@ def sound_iban(hit: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, and the base and further spans as places, each with its votes and traits."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("spans", F.sort_array(F.concat("base", _further_spans(F.col("text"), F.col("base")))))
-    return rows.select("doc_id", _votes(F.col("text"), F.col("spans")).alias("spans"))
+    rows = docs.select(F.col("doc_id"), text.alias("text"))
+    spans = let(base_spans(F.col("text")), lambda base: F.sort_array(F.concat(base, _further_spans(F.col("text"), base))))
+    both = F.struct(spans.alias("spans"), pieces(F.col("text")).alias("pieces"))
+    return rows.select("doc_id", let(both, lambda x: _votes(x["pieces"], x["spans"])).alias("spans"))
 
 
 def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 30) -> dict[tuple[int, tuple[int, ...]], float]:

@@ -19,25 +19,60 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _offsets(lengths: Column, base: Column) -> Column:
-    """base plus the sum of the elements before each."""
+def _before(values: Column, base: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What op makes of base and the elements before each."""
     zero = F.struct(base.alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-    return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
+    step = lambda acc, n: F.struct(op(acc["at"], n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(values, zero, step, lambda acc: acc["out"])
 
 
-def running(lengths: Column) -> Column:
-    """The sum of the elements before each element of a non-empty array<int>; in blocks, so that long arrays cost little more than their length."""
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column] = _plus, zero: int = 0) -> Column:
+    """The sum of the elements before each element of an array<int>, or what another op makes of them and zero; in blocks, so that long arrays cost little more than their length."""
 
     def of(whole: Column) -> Column:
         last = ((F.size(whole) - 1) / _BLOCK).cast("int")
         return let(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(whole, b * _BLOCK + 1, _BLOCK)), joined)
 
     def joined(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, n: a + n))
-        return F.flatten(F.zip_with(blocks, _offsets(totals, F.lit(0)), _offsets))
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(zero), op))
+        return F.flatten(F.zip_with(blocks, _before(totals, F.lit(zero), op), lambda block, at: _before(block, at, op)))
+
+    return let(values, of)
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of _BLOCK code points, from which window() reads without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def window(parts: Column, start: Column, length: Column) -> Column:
+    """Up to length (at most _BLOCK) code points from start (from 0) of the text that parts are the pieces of."""
+    at = F.floor(start / _BLOCK).cast("int")
+    both = F.concat(F.coalesce(F.get(parts, at), F.lit("")), F.coalesce(F.get(parts, at + 1), F.lit("")))
+    return F.substring(both, start - at * _BLOCK + 1, length)
+
+
+def clear_of(found: Column, taken: Column) -> Column:
+    """The spans of found that overlap none of taken, by one sweep over both in order of their starts."""
+    low = -(1 << 30)
+    item = lambda s, role: F.struct(s["start"].alias("start"), F.lit(role).alias("role"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"))
+    both = F.sort_array(F.concat(F.transform(taken, lambda s: item(s, 0)), F.transform(found, lambda s: item(s, 1))))
+
+    def swept(items: Column) -> Column:
+        ends = F.transform(items, lambda x: F.when(x["role"] == 0, x["end"]).otherwise(low))
+        starts = F.reverse(F.transform(items, lambda x: F.when(x["role"] == 0, -x["start"]).otherwise(low)))
+        sides = F.struct(running(ends, _larger, low).alias("reached"), F.reverse(running(starts, _larger, low)).alias("ahead"))
+        return let(sides, lambda side: F.filter(items, lambda x, i: (x["role"] == 1) & (F.get(side["reached"], i) <= x["start"]) & (-F.get(side["ahead"], i) >= x["end"])))
 
-    return let(lengths, of)
+    return F.transform(let(both, swept), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["hit"].alias("hit")))
 
 
 def find(text: Column, pattern: str, kind: int, *, gate: Column | None = None) -> Column:
