@@ -3,13 +3,16 @@
 A fast pseudo-rotation, three rounds of random signs and a Hadamard transform, turns every
 vector; its hash is the signed axis nearest to the turned vector. A bucket of a table is a
 sequence of such hashes, each with a rotation of its own, and the more vectors there are,
-the longer it is. In every table a query probes the buckets that it comes nearest to, by
-the sum of what each axis falls short of the best; how many follows from the share of the
-buckets to look at, which falls with the number of vectors. All vectors in those buckets
-are reranked by the exact inner product in double precision.
-Buckets follow directions, so where norms differ they don't lead to the largest inner
-products, and every query is compared with all vectors instead, block by block. So are
-all queries of a small table, and those whose probes reach too few vectors.
+the longer it is. In every table a query probes the buckets that it comes nearest to, by the sum of what each
+axis falls short of the best. All vectors in those buckets are reranked by the exact inner
+product in double precision.
+
+Buckets follow directions, so vectors are hashed apart by bands of nearly equal norm, and a
+query probes the buckets of every band. How many is measured: a few queries are compared
+with all vectors, and the share of the buckets is the one that reaches nearly all of their
+true neighbours. If all tables together would thus compare a query with more vectors than
+there are, each is compared with all vectors once instead, block by block, which is exact;
+so are queries whose probes reach too few vectors.
 
 Equal vectors are indexed once, with the few smallest ids that can matter, and large
 buckets are dealt out in blocks of bounded size, so neither a common vector nor a common
@@ -18,6 +21,7 @@ direction lands in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,12 @@ from chimerascope.llm.shared import scratch
 BLOCK_ROWS = 8192
 #: A table has so many buckets at least, and no more than so many vectors a bucket.
 LEAST_BUCKETS, BUCKET_ROWS = 2048, 128
-#: The share of the buckets that a query's probes cover, over all tables together, for SHARE_ROWS vectors; with more it falls by SHARE_POWER.
-SHARE, SHARE_ROWS, SHARE_POWER = 0.15, 20_000, 0.4
-#: A query's probes combine so many best axes of each hash.
-PROBED_AXES = 32
-#: So many vectors, or fewer, aren't hashed.
-EXACT_ROWS = 8192
+#: Probes are measured on up to so many queries of each length, to reach this share of their true neighbours.
+MEASURED, REACHED = 64, 0.96
+#: Norms within this factor lie in one band.
+BAND = 1.1
+#: A query's probes are chosen for so many sums of axes at a time.
+SUMS = 1 << 22
 #: A smaller set of vectors is dealt out in up to SPREAD blocks of SPREAD_ROWS when queries are compared with all of it.
 SPREAD, SPREAD_ROWS = 64, 512
 
@@ -72,6 +76,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.size("v").alias("n"), "v", *[F.xxhash64(F.lit(k), "v").alias(f"k{k}") for k in (1, 2)])
 
 
+def _band(v: Column) -> Column:
+    """The band of a vector's norm; of equal norms up to rounding, the middle of one."""
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    square = lambda most: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))
+    norm = F.get(F.transform(F.array(largest), lambda most: F.log(most) + 0.5 * F.log(square(most))), F.lit(0))
+    return F.floor(norm / math.log(BAND) + 0.5).cast("int")
+
+
 def hash_length(count: int, axes: int) -> int:
     """How many hashes make up a bucket."""
     length = 1
@@ -80,18 +92,24 @@ def hash_length(count: int, axes: int) -> int:
     return length
 
 
-def probe_count(count: int, axes: int, tables: int) -> int:
-    """How many buckets of each table a query looks at."""
-    share = SHARE * (max(count, SHARE_ROWS) / SHARE_ROWS) ** -SHARE_POWER
-    return max(6, round(share * axes ** hash_length(count, axes) / tables))
+def best_buckets(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
+    """The buckets nearest to each row, the nearest first: codes of one axis for each rotation of signs.
+
+    Each hash offers its best axes, more of them the more probes there are; sums beyond the
+    number of probes are left out after each hash.
+    """
+    axes = 2 * x.shape[1]
+    probes = min(probes, axes ** len(signs))
+    offered = min(axes, probes if len(signs) == 1 else 4 + int(np.ceil(2 * probes ** (1 / len(signs))))) if probes > 1 else 1
+    step = max(1, SUMS // (probes * offered))
+    return np.concatenate([_best_of_part(x[i : i + step], signs, probes, offered) for i in range(0, len(x), step)])
 
 
-def best_buckets(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
-    """The buckets nearest to each row, the nearest first: codes of one axis for each rotation of signs."""
+def _best_of_part(x: np.ndarray, signs: np.ndarray, probes: int, offered: int) -> np.ndarray:
     short, code = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
     for rotation in signs:
         scores = axis_scores(x, rotation)
-        axes = np.argsort(-scores, axis=1, kind="stable")[:, :PROBED_AXES] if probes > 1 else scores.argmax(axis=1)[:, None]
+        axes = np.argsort(-scores, axis=1, kind="stable")[:, :offered] if offered > 1 else scores.argmax(axis=1)[:, None]
         found = np.take_along_axis(scores, axes, axis=1)
         short = (short[:, :, None] + (found[:, :1] - found)[:, None, :]).reshape(len(x), -1)
         code = (code[:, :, None] * scores.shape[1] + axes[:, None, :]).reshape(len(x), -1)
@@ -100,16 +118,31 @@ def best_buckets(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
     return code
 
 
+def probes_to(query: np.ndarray, other: np.ndarray, signs: np.ndarray) -> int:
+    """How many buckets of a table a query has to probe to reach that of another vector."""
+    lacks, own = [], 0.0
+    for rotation in signs:
+        asked, held = axis_scores(np.stack([query, other]), rotation)
+        lack = asked.max() - asked
+        own += float(lack[held.argmax()])
+        lacks.append(lack)
+    sums = np.zeros(1)
+    for lack in lacks[:-1]:
+        sums = (sums[:, None] + lack[None, :]).ravel()
+        sums = sums[sums <= own]
+    return max(1, int(np.searchsorted(np.sort(lacks[-1]), own - sums - 1e-12).sum()) + 1)
+
+
 def zones(codes: np.ndarray, count: int, axes: int) -> np.ndarray:
-    """Buckets of one first axis lie in one zone, or sixteen buckets of a single hash."""
-    length = hash_length(count, axes)
-    return codes // (axes ** (length - 1) if length > 1 else 16)
+    """Neighbouring buckets lie in one zone, in as many zones as hold about BLOCK_ROWS vectors each."""
+    buckets = axes ** hash_length(count, axes)
+    return codes // max(1, -(-buckets // -(-count // BLOCK_ROWS)))
 
 
 def _padded(batches: Iterator[pd.DataFrame], tables: int, seed: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, int]]:
-    """The rows of each length n, a few at a time, as points padded with zeros to a power of two, the rotations of each table, and the number of vectors of that length."""
+    """The rows of each length n and band, a few at a time, as points padded with zeros to a power of two, the rotations of each table, and the number of vectors of the band."""
     for batch in batches:
-        for n, whole in batch.groupby("n"):
+        for (n, _), whole in batch.groupby(["n", "band"]):
             width, count = 1 << (int(n) - 1).bit_length(), int(whole["count"].iloc[0])
             length = hash_length(count, 2 * width)
             signs = rotations(tables * length, width, seed).reshape(tables, length, 3, width)
@@ -127,8 +160,8 @@ def _best(scored: DataFrame, most: int) -> DataFrame:
 
 
 def _compared(probe: DataFrame, index: DataFrame, most: int, blocks: Column) -> DataFrame:
-    """(n, q, c, score) of the rows (n, table, zone, buckets, rep, v) of probe with the best of index (n, table, zone, bucket, rep, v) in those buckets; blocks: in how many the index rows of a zone are dealt."""
-    zone = ["n", "table", "zone"]
+    """(n, q, c, score) of the rows (n, band, table, zone, buckets, rep, v) of probe with the best of index (n, band, table, zone, bucket, rep, v) in those buckets; blocks: in how many the index rows of a zone are dealt."""
+    zone = ["n", "band", "table", "zone"]
     held, asking = index.groupBy(*zone).agg(blocks.cast("int").alias("blocks")), probe.groupBy(*zone).agg(_in_blocks(BLOCK_ROWS).cast("int").alias("parts"))
     grid = held.join(asking, zone)
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
@@ -170,6 +203,34 @@ def _in_blocks(rows: int) -> Column:
     return F.ceil(F.count("*") / rows)
 
 
+def _against_all(asking: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
+    """(n, q, c, score) of the rows (n, rep, v) of asking with the best of all vectors of their length."""
+    all_of = lambda df: df.select("n", F.lit(0).alias("band"), F.lit(0).alias("table"), F.lit(0).cast("long").alias("zone"), "rep", "v")
+    blocks = F.greatest(_in_blocks(BLOCK_ROWS), F.least(_in_blocks(SPREAD_ROWS), F.lit(SPREAD)))
+    return _compared(all_of(asking).withColumn("buckets", F.array(F.lit(0).cast("long"))), all_of(distinct).withColumn("bucket", F.lit(0).cast("long")), most, blocks)
+
+
+def _measured_share(distinct: DataFrame, bands: DataFrame, k: int, tables: int, seed: int) -> DataFrame:
+    """(n, share): the share of each table's buckets that queries of a length have to probe to reach REACHED of their true neighbours, from up to MEASURED queries."""
+    asks = distinct.filter("asks").select("n", "rep", "v", F.xxhash64(F.lit(seed), "rep").bitwiseAND(F.lit((1 << 53) - 1)).alias("hash"))
+    few = asks.join(asks.groupBy("n").agg(F.count("*").alias("asking")), "n").filter(F.col("hash") < 4.0 * MEASURED / F.col("asking") * float(1 << 53))
+    few = few.withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy("hash"))).filter(F.col("place") <= MEASURED)
+    few = scratch(few.select("n", "rep", "v"), "measured-queries")
+    true = scratch(_best(_against_all(few, distinct, k + 1), k + 1).filter("q != c").select("n", "q", "c"), "true-neighbours")
+    pairs = true.join(few.select("n", F.col("rep").alias("q"), F.col("v").alias("asking")), ["n", "q"])
+    pairs = pairs.join(distinct.select("n", F.col("rep").alias("c"), "band", "v"), ["n", "c"]).join(bands, ["n", "band"]).select("n", "band", "count", "asking", "v")
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, x, signs, _ in _padded(batches, tables, seed):
+            queries = np.zeros_like(x)
+            queries[:, : len(part["asking"].iloc[0])] = np.stack(part["asking"].to_numpy())
+            buckets = (2 * x.shape[1]) ** signs.shape[1]
+            yield pd.DataFrame({"n": part["n"], "share": [min(probes_to(q, c, s) for s in signs) / buckets for q, c in zip(queries, x, strict=True)]})
+
+    share = pairs.mapInPandas(shares, "n int, share double")
+    return share.groupBy("n").agg(F.expr(f"percentile_disc({REACHED}) WITHIN GROUP (ORDER BY share)").alias("share"))
+
+
 def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 24, probes: int | None = None, seed: int = 11) -> DataFrame:
     """The k nearest of every vector whose id is divisible by every: query_id, rank, vec_id, score.
 
@@ -180,10 +241,9 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
     Repeated rows are found once. An empty table gives no rows; other columns are left
     out. Vectors are compared with those of their own length only.
 
-    If the norms of a length differ, or it has EXACT_ROWS vectors at most, every query is
-    compared with all vectors; else those are whose probes reach fewer than there are to
-    find. So these answers are exact, and the work is such queries times vectors. probes:
-    buckets of each table that a query looks at, by default those of probe_count.
+    probes: buckets of each table that a query looks at in each band of norms. By default
+    their share is measured, and lengths for which the tables would compare a query with more
+    vectors than there are answer exactly.
     """
     rows = scratch(usable(vectors), "vectors")
     if rows.isEmpty():
@@ -195,46 +255,46 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
     queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "n", "k1", "k2").distinct()
     distinct = rows.groupBy("n", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.first("v").alias("v"))
     distinct = distinct.join(queries.select("n", "k1", "k2").distinct().withColumn("asks", F.lit(True)), ["n", "k1", "k2"], "left")
-    distinct = scratch(distinct.select("n", "rep", "k1", "k2", "v", F.coalesce("asks", F.lit(False)).alias("asks")), "distinct-vectors")
+    distinct = scratch(distinct.select("n", _band(F.col("v")).alias("band"), "rep", "k1", "k2", "v", F.coalesce("asks", F.lit(False)).alias("asks")), "distinct-vectors")
 
-    # One row a length: a table of vectors has few, since it takes the square of their number in components to have more.
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    facts = distinct.groupBy("n").agg(((F.max(square) > 1.001 * F.min(square)) | (F.count("*") <= EXACT_ROWS)).alias("exact"), F.count("*").alias("count"))
     there = ids.select("n", "vec_id").distinct().groupBy("n").agg(F.least(F.count("*"), F.lit(k + 1)).alias("there"))
-    facts = scratch(facts.join(there, "n"), "lengths")
-    hashing = distinct.join(F.broadcast(facts.filter("not exact").select("n", "count")), "n")
+    bands = scratch(distinct.groupBy("n", "band").agg(F.count("*").alias("count")), "bands")
+    share = distinct.select("n").distinct().withColumn("share", F.lit(0.0)) if probes else _measured_share(distinct, bands, k, tables, seed)
+    facts = scratch(there.join(share, "n", "left").select("n", "there", F.coalesce("share", F.lit(1.0)).alias("share")), "lengths").withColumn("exact", F.col("share") * tables >= 1)
+    bands = bands.join(facts.filter("not exact").select("n", "share"), "n")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, x, signs, count in _padded(batches, tables, seed):
             codes = np.concatenate([best_buckets(x, s, 1) for s in signs], axis=1)
-            yield pd.DataFrame({"n": part["n"], "rep": part["rep"], "v": part["v"], "zones": list(zones(codes, count, 2 * x.shape[1]).astype(np.int32)), "buckets": list(codes)})
+            yield pd.DataFrame({"n": part["n"], "band": part["band"], "rep": part["rep"], "v": part["v"], "zones": list(zones(codes, count, 2 * x.shape[1])), "buckets": list(codes)})
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, x, signs, count in _padded(batches, tables, seed):
+            share = float(part["share"].iloc[0])
             for table, s in enumerate(signs):
-                codes = best_buckets(x, s, probes or probe_count(count, 2 * x.shape[1], tables))
+                codes = best_buckets(x, s, probes or max(1, math.ceil(share * (2 * x.shape[1]) ** len(s))))
                 rows = pd.DataFrame({"i": np.repeat(np.arange(len(part)), codes.shape[1]), "zone": zones(codes, count, 2 * x.shape[1]).ravel(), "bucket": codes.ravel()})
                 grouped = rows.groupby(["i", "zone"])["bucket"].agg(list).reset_index()
                 own = part.iloc[grouped["i"]]
-                columns = {"zone": grouped["zone"].to_numpy(np.int32), "buckets": grouped["bucket"].to_numpy()}
-                yield pd.DataFrame({"n": own["n"].to_numpy(), "rep": own["rep"].to_numpy(), "v": own["v"].to_numpy(), "table": np.int32(table), **columns})
+                columns = {"zone": grouped["zone"].to_numpy(np.int64), "buckets": grouped["bucket"].to_numpy()}
+                yield pd.DataFrame({"n": own["n"].to_numpy(), "band": own["band"].to_numpy(), "rep": own["rep"].to_numpy(), "v": own["v"].to_numpy(), "table": np.int32(table), **columns})
 
     element = "float" if dict(rows.dtypes)["v"] == "array<float>" else "double"
-    index = hashing.select("n", "rep", "v", "count").mapInPandas(hashed, f"n int, rep long, v array<{element}>, zones array<int>, buckets array<long>")
+    hashing = distinct.join(bands, ["n", "band"]).select("n", "band", "rep", "v", "count")
+    index = hashing.mapInPandas(hashed, f"n int, band int, rep long, v array<{element}>, zones array<long>, buckets array<long>")
     both = F.posexplode(F.arrays_zip(F.col("zones").alias("zone"), F.col("buckets").alias("bucket"))).alias("table", "z")
-    index = scratch(index.select("n", "rep", "v", both).select("n", "rep", "v", "table", "z.zone", "z.bucket"), "vector-index")
-    probe = hashing.filter("asks").select("n", "rep", "v", "count").mapInPandas(asked, f"n int, rep long, v array<{element}>, table int, zone int, buckets array<long>")
+    index = scratch(index.select("n", "band", "rep", "v", both).select("n", "band", "rep", "v", "table", "z.zone", "z.bucket"), "vector-index")
+    asking = distinct.filter("asks").select("n", "rep", "v").join(bands, "n").select("n", "band", "rep", "v", "count", "share")
+    probe = asking.mapInPandas(asked, f"n int, band int, rep long, v array<{element}>, table int, zone long, buckets array<long>")
     found = scratch(_best(_compared(probe, index, k + 1, _in_blocks(BLOCK_ROWS)), k + 1), "found")
 
     names = distinct.select("n", "rep", "k1", "k2")
     members = ids.join(names, ["n", "k1", "k2"]).select("n", F.col("rep").alias("c"), "vec_id")
     reached = found.join(members, ["n", "c"]).groupBy("n", F.col("q").alias("rep")).agg(F.size(F.collect_set("vec_id")).alias("reached"))
-    open_ = distinct.filter("asks").select("n", "rep", "v").join(F.broadcast(facts), "n").join(reached, ["n", "rep"], "left")
+    open_ = distinct.filter("asks").select("n", "rep", "v").join(facts, "n").join(reached, ["n", "rep"], "left")
     open_ = scratch(open_.filter(F.col("exact") | (F.coalesce("reached", F.lit(0)) < F.col("there"))).select("n", "rep", "v"), "open-queries")
     if not open_.isEmpty():
-        all_of = lambda df: df.select("n", F.lit(0).alias("table"), F.lit(0).alias("zone"), "rep", "v")
-        blocks = F.greatest(_in_blocks(BLOCK_ROWS), F.least(_in_blocks(SPREAD_ROWS), F.lit(SPREAD)))
-        found = scratch(_best(found.union(_compared(all_of(open_).withColumn("buckets", F.array(F.lit(0).cast("long"))), all_of(distinct).withColumn("bucket", F.lit(0).cast("long")), k + 1, blocks)), k + 1), "found")
+        found = scratch(_best(found.union(_against_all(open_, distinct, k + 1)), k + 1), "found")
 
     expanded = found.join(members, ["n", "c"]).withColumn("place", F.row_number().over(Window.partitionBy("n", "q").orderBy(F.desc("score"), "vec_id")))
     expanded = expanded.filter(F.col("place") <= k + 1).select("n", "q", "vec_id", "score")
