@@ -160,7 +160,8 @@ def _best(scored: DataFrame, most: int) -> DataFrame:
 
 
 def _compared(probe: DataFrame, index: DataFrame, most: int, blocks: Column) -> DataFrame:
-    """(n, q, c, score) of the rows (n, band, table, zone, buckets, rep, v) of probe with the best of index (n, band, table, zone, bucket, rep, v) in those buckets; blocks: in how many the index rows of a zone are dealt."""
+    """(n, q, c, score) of the rows (n, band, table, zone, buckets, rep, v) of probe with the best of index (n, band, table, zone, bucket, rep, v) in those buckets; blocks: in how many the index rows of a zone are dealt. A row of probe that has a floor gets no lower scores."""
+    probe = probe if "floor" in probe.columns else probe.withColumn("floor", F.lit(None).cast("double"))
     zone = ["n", "band", "table", "zone"]
     held, asking = index.groupBy(*zone).agg(blocks.cast("int").alias("blocks")), probe.groupBy(*zone).agg(_in_blocks(BLOCK_ROWS).cast("int").alias("parts"))
     grid = held.join(asking, zone)
@@ -176,6 +177,7 @@ def _compared(probe: DataFrame, index: DataFrame, most: int, blocks: Column) ->
         held = held.sort_values(["bucket", "rep"])
         bucket, reps, c = held["bucket"].to_numpy(), held["rep"].to_numpy(), np.stack(held["v"].to_numpy()).astype(np.float64)
         names, q = asking["rep"].to_numpy(), np.stack(asking["v"].to_numpy()).astype(np.float64)
+        floor = asking["floor"].astype(float).fillna(-np.inf).to_numpy()
         asks = np.concatenate(asking["buckets"].to_numpy())
         by = np.repeat(np.arange(len(asking)), [len(b) for b in asking["buckets"]])
         order = np.argsort(asks, kind="stable")
@@ -186,7 +188,9 @@ def _compared(probe: DataFrame, index: DataFrame, most: int, blocks: Column) ->
                 rows = by[start : min(start + 256, last)]
                 scores = np.einsum("qd,cd->qc", q[rows], c[low:high])
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                found.append((np.repeat(names[rows], top.shape[1]), reps[low + top].ravel(), np.take_along_axis(scores, top, axis=1).ravel()))
+                scores = np.take_along_axis(scores, top, axis=1)
+                enough = (scores >= floor[rows][:, None]).ravel()
+                found.append((np.repeat(names[rows], top.shape[1])[enough], reps[low + top].ravel()[enough], scores.ravel()[enough]))
         asked, near, score = (np.concatenate(part) for part in zip(*found, strict=True))
         order = np.lexsort((near, -score, asked))
         asked, near, score = asked[order], near[order], score[order]
@@ -195,7 +199,7 @@ def _compared(probe: DataFrame, index: DataFrame, most: int, blocks: Column) ->
         return pd.DataFrame({"n": np.int32(key[0]), "q": asked[best], "c": near[best], "score": score[best]})
 
     key = [*zone, "block", "part"]
-    asking, held = probe.select(*key, "buckets", "rep", "v").groupBy(*key), index.select(*key, "bucket", "rep", "v").groupBy(*key)
+    asking, held = probe.select(*key, "buckets", "rep", "v", "floor").groupBy(*key), index.select(*key, "bucket", "rep", "v").groupBy(*key)
     return asking.cogroup(held).applyInPandas(rerank, "n int, q long, c long, score double")
 
 
@@ -268,16 +272,20 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
             codes = np.concatenate([best_buckets(x, s, 1) for s in signs], axis=1)
             yield pd.DataFrame({"n": part["n"], "band": part["band"], "rep": part["rep"], "v": part["v"], "zones": list(zones(codes, count, 2 * x.shape[1])), "buckets": list(codes)})
 
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, x, signs, count in _padded(batches, tables, seed):
-            share = float(part["share"].iloc[0])
-            for table, s in enumerate(signs):
-                codes = best_buckets(x, s, probes or max(1, math.ceil(share * (2 * x.shape[1]) ** len(s))))
-                rows = pd.DataFrame({"i": np.repeat(np.arange(len(part)), codes.shape[1]), "zone": zones(codes, count, 2 * x.shape[1]).ravel(), "bucket": codes.ravel()})
-                grouped = rows.groupby(["i", "zone"])["bucket"].agg(list).reset_index()
-                own = part.iloc[grouped["i"]]
-                columns = {"zone": grouped["zone"].to_numpy(np.int64), "buckets": grouped["bucket"].to_numpy()}
-                yield pd.DataFrame({"n": own["n"].to_numpy(), "band": own["band"].to_numpy(), "rep": own["rep"].to_numpy(), "v": own["v"].to_numpy(), "table": np.int32(table), **columns})
+    def asked(wanted: range):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part, x, signs, count in _padded(batches, tables, seed):
+                share = float(part["share"].iloc[0])
+                for table in wanted:
+                    s = signs[table]
+                    codes = best_buckets(x, s, probes or max(1, math.ceil(share * (2 * x.shape[1]) ** len(s))))
+                    rows = pd.DataFrame({"i": np.repeat(np.arange(len(part)), codes.shape[1]), "zone": zones(codes, count, 2 * x.shape[1]).ravel(), "bucket": codes.ravel()})
+                    grouped = rows.groupby(["i", "zone"])["bucket"].agg(list).reset_index()
+                    own = part.iloc[grouped["i"]]
+                    columns = {"zone": grouped["zone"].to_numpy(np.int64), "buckets": grouped["bucket"].to_numpy()}
+                    yield pd.DataFrame({"n": own["n"].to_numpy(), "band": own["band"].to_numpy(), "rep": own["rep"].to_numpy(), "v": own["v"].to_numpy(), "table": np.int32(table), **columns})
+
+        return run
 
     element = "float" if dict(rows.dtypes)["v"] == "array<float>" else "double"
     hashing = distinct.join(bands, ["n", "band"]).select("n", "band", "rep", "v", "count")
@@ -285,8 +293,12 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, tables: int = 2
     both = F.posexplode(F.arrays_zip(F.col("zones").alias("zone"), F.col("buckets").alias("bucket"))).alias("table", "z")
     index = scratch(index.select("n", "band", "rep", "v", both).select("n", "band", "rep", "v", "table", "z.zone", "z.bucket"), "vector-index")
     asking = distinct.filter("asks").select("n", "rep", "v").join(bands, "n").select("n", "band", "rep", "v", "count", "share")
-    probe = asking.mapInPandas(asked, f"n int, band int, rep long, v array<{element}>, table int, zone long, buckets array<long>")
-    found = scratch(_best(_compared(probe, index, k + 1, _in_blocks(BLOCK_ROWS)), k + 1), "found")
+    probe = lambda wanted: asking.mapInPandas(asked(wanted), f"n int, band int, rep long, v array<{element}>, table int, zone long, buckets array<long>")
+    # What the first table finds bounds what the others have to give, whatever the number of zones.
+    first = scratch(_best(_compared(probe(range(1)), index.filter("table = 0"), k + 1, _in_blocks(BLOCK_ROWS)), k + 1), "found-first")
+    floor = first.groupBy("n", F.col("q").alias("rep")).agg(F.count("*").alias("held"), F.min("score").alias("floor")).filter(F.col("held") > k).drop("held")
+    rest = _compared(probe(range(1, tables)).join(floor, ["n", "rep"], "left"), index.filter("table > 0"), k + 1, _in_blocks(BLOCK_ROWS))
+    found = scratch(_best(first.union(rest), k + 1), "found")
 
     names = distinct.select("n", "rep", "k1", "k2")
     members = ids.join(names, ["n", "k1", "k2"]).select("n", F.col("rep").alias("c"), "vec_id")
