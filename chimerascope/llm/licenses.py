@@ -35,7 +35,7 @@ _WIDE = re.compile(rb"[\x09-\x0d\x20]*[\x09-\x0d][\x09-\x0d\x20]*(?:(?:#+|\*+|/{
 _CC = "cc by|cc-by|cc attr|cc-attr|creative"
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 _FAMILIES = (
-    ("apache", r"apache(?: software)? licen[sc]e|asl", r"apache|asl", "apache|asl", ("1.0", "1.1", "2.0"), "Apache License"),
+    ("apache", r"apache(?: software)? licen[sc]e|asl(?=,? ?\(?(?:version |v\.? ?)?[12]\.[01])", r"apache|asl", "apache|asl", ("1.0", "1.1", "2.0"), "Apache License"),
     ("mit", r"(?:mit|expat)(?:/x11)? licen[sc]e", r"mit|expat|mit/x11", "mit|expat", (), "MIT License"),
     ("mit-0", r"mit no attribution(?: licen[sc]e)?|mit-0", r"mit-0", "mit no|mit-0", (), "MIT No Attribution"),
     ("x11", r"x11 licen[sc]e|x consortium licen[sc]e", r"x11", "x11|x consortium", (), "X11 License"),
@@ -146,8 +146,8 @@ _FAMILIES = (
 _SENTENCES = (
     ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy of (?:this software|the software|this font)", "permission is hereby"),
     ("mit", r"the above copyright notice and this permission notice(?: \(including the next paragraph\))? shall be included in all copies or substantial portions", "permission notice shall"),
-    ("mit", r"the software is provided \"as is\", without warranty of any kind, express or implied", "without warranty"),
-    ("mit-0", r"to permit persons to whom the software is furnished to do so\. the software is provided", "to whom the software"),
+    ("mit", r"the software is provided \"as is\", without warranty of any kind, express or implied.{0,200}?in no event shall the (?:authors or copyright holders|x consortium) be liable", "without warranty"),
+    ("mit-0", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software.{0,600}?furnished to do so\. the software is provided \"as is\", without warranty of any kind(?:.{0,250}?authors or copyright holders be liable)?", "permission is hereby"),
     ("x11", r"the name of the x consortium shall not be used in advertising", "x consortium"),
     ("bsd", r"redistribution and use in source and binary forms, with or without modification, are permitted", "source and binary forms"),
     ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions of"),
@@ -176,6 +176,10 @@ _SENTENCES = (
     ("gpl", r"the licenses for most software are designed to take away your freedom to share and change it", "take away your freedom"),
     ("gpl", r"you should have received a copy of the gnu general public licen[sc]e along with this", "should have received"),
     ("lgpl", r"under the terms of the gnu (?:lesser|library) general public licen[sc]e as published", "general public"),
+    ("lgpl-2.0", r"(?:under the terms of the )?gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation[;,] (?:either )?version 2(?!\.[0-9])", "free software foundation"),
+    ("lgpl-2.1", r"(?:under the terms of the )?gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation[;,] (?:either )?version 2\.1", "free software foundation"),
+    ("lgpl-3.0", r"(?:under the terms of the )?gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation[;,] (?:either )?version 3", "free software foundation"),
+    ("agpl-3.0", r"gnu affero general public licen[sc]e as published by the free software foundation[;,] (?:either )?version 3", "free software foundation"),
     ("lgpl-2.1", r"gnu lesser general public licen[sc]e version 2\.1, february 1999", "february 1999"),
     ("lgpl-3.0", r"this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3", "incorporates the terms"),
     ("agpl-3.0", r"gnu affero general public licen[sc]e version 3, 19 november 2007", "19 november 2007"),
@@ -215,20 +219,26 @@ _SENTENCES = (
 )
 
 # What may stand before a name where something is said to be licensed so; forms that begin with it are tried at its ends only.
-_GRANT = r"(?:licen[sc]ed?|released|distributed|available|published|provided|use|shared|contributed|covered)(?: only)? (?:under|by|with) (?:an? |the )?(?:terms (?:and conditions )?of (?:the )?)?"
+_GRANT = r"(?:(?:licen[sc]ed?|released|distributed|available|published|provided|use|shared|contributed|covered)(?: only)? under|licen[sc]ed(?: only)? (?:by|with)) (?:an? |the )?(?:terms (?:and conditions )?of (?:the )?)?"
 # How a licence is named: form, pattern ({name}, {short}: as in the table; a space is a space or a line break), priority, and how sure it is.
 _LEFT, _RIGHT = r"(?<![0-9a-z])", r"(?![0-9a-z])"
 _VERSION = r"(?:,?(?: ?\(?(?:version|ver\.?|v\.?) ?|[\x20-]\(?)){version}(?![0-9a-z]|\.[0-9])"
 _FORMS = (
     ("tag", _LEFT + r"{id}(?![0-9a-z.-])", 40, 1.0),
     ("granted version", r"(?:{short})(?: licen[sc]e)?" + _VERSION, 31, 0.95),
+    ("field version", _LEFT + r"licen[sc]es?[\"']? ?[:=] ?[\"']?(?:{short})(?: licen[sc]e)?" + _VERSION, 32, 0.95),
     ("versioned", _LEFT + r"(?:{name})" + _VERSION, 30, 0.95),
     ("field", _LEFT + r"licen[sc]es?[\"']? ?[:=] ?[\"']?(?:{short})" + _RIGHT, 21, 0.9),
     ("granted name", r"(?:{name})" + _RIGHT, 20, 0.9),
-    ("granted", r"(?:{short})" + _RIGHT, 19, 0.85),
+    ("granted", r"(?:{short})(?: licen[sc]e)?" + _RIGHT, 19, 0.85),
     ("adjective", _LEFT + r"(?:{short})[ -]licen[sc]ed" + _RIGHT, 18, 0.85),
     ("mention", _LEFT + r"(?:{name})" + _RIGHT, 10, 0.6),
 )
+# Families whose short names are ordinary words, languages or firms: with a grant they count only where it holds the word licence.
+_ORDINARY = frozenset((
+    "boost", "artistic", "python", "php", "ruby", "perl", "tcl", "postgresql", "curl", "unicode", "nokia", "intel", "elastic", "vim", "json", "fair", "multics",
+    "mulan", "polyform", "imagemagick", "sleepycat", "motosoto",
+))
 _EXPRESSION = re.compile(rb"spdx-license-identifier:([^\n]*)")
 
 
@@ -241,6 +251,7 @@ class Rule:
     keywords: tuple[bytes, ...]
     pattern: re.Pattern
     licence_word: bool = False  # whether every match holds the word licence
+    ordinary: bool = False  # whether a match counts only if it does
 
 
 def _narrow(text: bytes) -> bytes:
@@ -276,8 +287,8 @@ def signature_rules() -> list[Rule]:
                 source = shape
                 for field, text in fields.items():
                     source = source.replace(field, text)
-                worded = form in ("field", "adjective") or "{name}" in shape and all("licen" in x for x in re.sub(r"\([^()]*\)", "", name).split("|"))
-                rules.append(Rule(full, form, priority, sureness, (b"spdx-license-identifier",) if form == "tag" else keywords, re.compile(_breakable(source).encode()), worded))
+                worded = form in ("field", "field version", "adjective") or "{name}" in shape and all("licen" in x for x in re.sub(r"\([^()]*\)", "", name).split("|"))
+                rules.append(Rule(full, form, priority, sureness, (b"spdx-license-identifier",) if form == "tag" else keywords, re.compile(_breakable(source).encode()), worded, label in _ORDINARY))
     return sorted(rules, key=lambda r: -r.priority)
 
 
@@ -326,7 +337,7 @@ class Scanner:
             if rule.form == "tag":
                 spans = [m.span() for low, high in expressions for m in rule.pattern.finditer(text, low, high)]
             elif rule.form.startswith("granted"):
-                spans = [(low, m.end()) for low, high in grants if (m := rule.pattern.match(text, high))]
+                spans = [(low, m.end()) for low, high in grants if (m := rule.pattern.match(text, high)) and (not rule.ordinary or b"licen" in text[low : m.end()])]
             else:
                 spans = [m.span() for m in rule.pattern.finditer(text)]
             for start, end in spans:

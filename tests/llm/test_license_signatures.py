@@ -67,6 +67,29 @@ def test_expressions():
     assert labels("SPDX-License-Identifier: MPL-2.0+") == {"mpl-2.0"} and "mit" not in labels("SPDX-License-Identifier: ISC\nMIT is a place")
 
 
-@pytest.mark.parametrize("text", ["class ServiceImpl 2.0 release", "see impl 2 below", "the epl2.org page", "simple example 3.0", "a fair price for the ruby ring", "python 2.0 and php 3.0 are old", "published by the press", "use with care"])
+@pytest.mark.parametrize("text", [
+    "class ServiceImpl 2.0 release", "see impl 2 below", "the epl2.org page", "simple example 3.0", "a fair price for the ruby ring", "python 2.0 and php 3.0 are old", "published by the press", "use with care",
+    "He studied ASL", "published by Nokia in 1999", "shared with Ruby yesterday", "this book was published by Boost", "provided by Unicode", "covered under fair use", "released under Python 2.0",
+])
 def test_no_licence(text):
     assert labels(text) == set()
+
+
+DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY. IN NO EVENT SHALL THE '
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files, to deal in it and to permit persons to whom the Software is furnished to do so"
+# The base phrase in these notices gives gpl whatever the method finds.
+NOTICE = "under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation; either version {} of the License, or later"
+
+
+@pytest.mark.parametrize(("text", "wanted"), [
+    (f"{BODIES['unlicense']}\n\n{DISCLAIMER}AUTHORS BE LIABLE FOR ANY CLAIM", {"unlicense"}),
+    (f"{BODIES['boost']}.\n{DISCLAIMER}COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE", {"boost"}),
+    (f"{DISCLAIMER}AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", {"mit"}),
+    (f"{GRANT}, subject to the following conditions:\n\n{DISCLAIMER}AUTHORS OR COPYRIGHT HOLDERS BE LIABLE", {"mit"}),
+    (f"{GRANT}.\n\n{DISCLAIMER}AUTHORS OR COPYRIGHT HOLDERS BE LIABLE", {"mit-0"}),
+    (NOTICE.format("Lesser", "2.1"), {"lgpl-2.1", "gpl"}), (NOTICE.format("Library", "2"), {"lgpl-2.0", "gpl"}), (NOTICE.format("Lesser", "3"), {"lgpl-3.0", "gpl"}), (NOTICE.format("Affero", "3"), {"agpl-3.0", "gpl"}),
+    ('license = "Apache-2.0"', {"apache-2.0"}), ("License: GPL v3", {"gpl-3.0"}), ("'license': 'MPL 2.0',", {"mpl-2.0"}), ("license: MIT", {"mit"}), ("the ASL 2.0", {"apache-2.0"}),
+    ("licensed under Ruby", {"ruby"}), ("released under the Boost license", {"boost"}), ("licensed by MIT terms", {"mit"}),
+])
+def test_shared_sentences_notices_and_fields(text, wanted):
+    assert labels(text) == wanted
