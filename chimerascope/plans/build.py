@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chimerascope.plans.models import check_models, source_label, transcript_models, with_sequences
+from chimerascope.plans.models import MODEL_COUNTS, check_models, source_label, transcript_models, with_sequences
 from chimerascope.sources import dump, fasta, interpro, panther, uniprot
 from chimerascope.sources.lake import SPECIES, Build, Lake, file_fingerprint
 
@@ -70,14 +70,17 @@ def _built(
     if curated:
         held = fasta.whole(records.filter("kind = 'pep'"))
         links = uniprot.cross_references(raw)
-        chosen = build.stage("curated_entries", lambda: uniprot.read_entries(spark, curated))
+        chosen = build.stage("curated_entries", lambda: uniprot.read_entries(spark, curated), {"n": "count(*)"})
         isoforms = build.stage("isoforms", lambda: uniprot.proteins(chosen))
-        found = build.stage("curated", lambda: uniprot.verified(isoforms, held, links=links))
-        imported = {f"curated_{k}": str(v) for k, v in uniprot.import_counts(chosen, isoforms, held, found, links=links).items()}
+        matches = build.stage("curated_matches", lambda: uniprot.candidates(isoforms, held, links), uniprot.MATCH_COUNTS)
+        found = build.stage("curated", lambda: uniprot.first_features(matches), {"n": "count(*)"})
+        seen = build.counts
+        counted = uniprot.import_counts(seen["curated_entries"]["n"], matches, seen["curated_matches"]["sequence_mismatches"], seen["curated"]["n"])
+        imported = {f"curated_{k}": str(v) for k, v in counted.items()}
     if classes and "{release}" in classes:
         classes = classes.replace("{release}", panther.release(raw["analysis"].filter(source_label(raw["analysis"]) == "PANTHER")))
     families = build.stage("classes", lambda: panther.read_classes(spark, classes)) if classes else None
-    bare = build.stage("structures", lambda: transcript_models(raw, index, named, curated=found, classes=families, assembly=assembly))
-    counts = check_models(bare)
+    bare = build.stage("structures", lambda: transcript_models(raw, index, named, curated=found, classes=families, assembly=assembly), MODEL_COUNTS)
+    counts = check_models(bare, build.counts["structures"])
     build.stage("models", lambda: with_sequences(bare, chunks, size=chunk))
     return build.finish({"release": release, "species": SPECIES, "assembly": assembly, "chunk": str(chunk), **{f"n_{k}": str(v) for k, v in counts.items()}, **imported})

@@ -152,17 +152,23 @@ def transcript_models(raw: dict[str, DataFrame], index: DataFrame, entries: Data
     )
 
 
-def check_models(models: DataFrame) -> dict[str, int]:
-    """Counts by status and of features of ready transcripts; no ready transcript, or an entry without a type on one, is an error."""
-    ready = models.filter("status = 'ready'")
-    missing = [r[0] for r in ready.select(F.explode("protein_features").alias("f")).filter("f.interpro_id is not null and f.interpro_entry_type is null").select("f.interpro_id").distinct().orderBy("interpro_id").limit(10).collect()]
-    if missing:
+# What is counted of models while they are written.
+MODEL_COUNTS = {
+    "ready": "count_if(status = 'ready')", "noncoding": "count_if(status = 'noncoding')", "error": "count_if(status = 'error')",
+    "protein_features": "coalesce(sum(if(status = 'ready', size(protein_features), 0)), 0)",
+    "untyped": "coalesce(sum(if(status = 'ready', size(filter(protein_features, f -> f.interpro_id is not null and f.interpro_entry_type is null)), 0)), 0)",
+}
+
+
+def check_models(models: DataFrame, counts: dict[str, int]) -> dict[str, int]:
+    """The counts (MODEL_COUNTS) by status and of features of ready transcripts; no ready transcript, or an entry without a type on one, is an error. The models are read only to name such entries."""
+    if counts["untyped"]:
+        features = models.filter("status = 'ready'").select(F.explode("protein_features").alias("f")).filter("f.interpro_id is not null and f.interpro_entry_type is null")
+        missing = [r[0] for r in features.select("f.interpro_id").distinct().orderBy("interpro_id").limit(10).collect()]
         raise ValueError(f"Entries without a type: {', '.join(missing)}")
-    counts = {r["status"]: r["n"] for r in models.groupBy("status").agg(F.count("*").alias("n")).collect()}
-    if not counts.get("ready"):
+    if not counts["ready"]:
         raise ValueError("No transcript is ready")
-    features = ready.agg(F.sum(F.size("protein_features"))).first()[0]
-    return {"ready": 0, "noncoding": 0, "error": 0} | counts | {"protein_features": int(features)}
+    return {name: counts[name] for name in ("ready", "noncoding", "error", "protein_features")}
 
 
 def with_sequences(models: DataFrame, chunks: DataFrame, *, size: int) -> DataFrame:

@@ -15,7 +15,7 @@ from chimerascope.plans.annotate import annotate
 from chimerascope.plans.models import source_counts
 from chimerascope.plans.pseudo import table
 from chimerascope.plans.staging import staged, staged_path
-from chimerascope.sources import fasta, lake
+from chimerascope.sources import fasta, lake, uniprot
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -343,6 +343,40 @@ def orphan_chunks(spark, sf_dir):
     return fasta.without_orphans(chunks, index).select(F.col("sequence_id").alias("l_orderkey"), "l_linenumber", "l_partkey")
 
 
+def _matches(spark, sf_dir):
+    """Parts as isoforms of two features each, orders as peptides, lines as cross references between them; a part and an order have equal sequences if their keys leave the same remainder by 3."""
+    part, text = table(spark, sf_dir, "part"), lambda c: c.cast("string")
+    accession, letters = F.concat(F.lit("A"), text(F.col("p_partkey"))), lambda key: F.concat(F.lit("MK"), text(F.col(key) % 3))
+    kind = lambda n, by: F.struct(F.concat(F.lit(n), text(F.col("p_size") % by)).alias("feature_id"), F.col("p_size").alias("start"), accession.alias("uniprot_accession"), accession.alias("uniprot_isoform"))
+    isoforms = part.select(letters("p_partkey").alias("sequence"), F.array(accession).alias("accessions"), F.array().cast("array<string>").alias("protein_ids"), F.array(kind("F", 4), kind("G", 2)).alias("features"))
+    peptides = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sequence_id"), text(F.col("o_orderkey")).alias("stable_id"), letters("o_orderkey").alias("bases"))
+    links = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("A"), text(F.col("l_partkey"))).alias("accession"), text(F.col("l_orderkey")).alias("stable_id"))
+    return uniprot.candidates(isoforms, peptides, links)
+
+
+_MATCHES = "WITH m AS (SELECT DISTINCT o_orderkey, p_partkey, p_size, o_orderkey % 3 = p_partkey % 3 AS same FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)"
+
+
+@_query(
+    _MATCHES
+    + """, f AS (SELECT o_orderkey AS sequence_id, 0 AS ord, 'F' || CAST(p_size % 4 AS VARCHAR) AS feature_id, p_size AS start, 'A' || CAST(p_partkey AS VARCHAR) AS accession FROM m WHERE same
+    UNION ALL SELECT o_orderkey, 1, 'G' || CAST(p_size % 2 AS VARCHAR), p_size, 'A' || CAST(p_partkey AS VARCHAR) FROM m WHERE same)
+    SELECT sequence_id, feature_id, start, accession FROM f QUALIFY row_number() OVER (PARTITION BY sequence_id, feature_id ORDER BY ord, accession) = 1"""
+)
+def curated_features(spark, sf_dir):
+    """Curated features by peptide: of isoforms that cross references lead to and whose sequences are equal, the first of each feature id."""
+    return uniprot.first_features(_matches(spark, sf_dir)).select("sequence_id", "feature_id", "start", F.col("uniprot_accession").alias("accession"))
+
+
+@_query(_MATCHES + " SELECT count(DISTINCT o_orderkey) FILTER (WHERE same) AS matched_proteins, count(*) FILTER (WHERE NOT same) AS sequence_mismatches FROM m")
+def curated_import_counts(spark, sf_dir):
+    """What a build tells of its curated import: mismatches counted by the tasks that write the matches, matched peptides from what was written."""
+    path = staged_path(spark, "matches")
+    seen = lake.write_counted(_matches(spark, sf_dir), path, uniprot.MATCH_COUNTS)
+    counts = uniprot.import_counts(1, spark.read.parquet(path), seen["sequence_mismatches"], 0)
+    return spark.createDataFrame([(counts["matched_proteins"], counts["sequence_mismatches"])], "matched_proteins long, sequence_mismatches long")
+
+
 @_query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS has_return FROM orders")
 def exists_flag(spark, sf_dir):
     returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
