@@ -184,20 +184,38 @@ def _rare_shingles(sets: DataFrame, members: DataFrame, percent: int) -> tuple[D
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node in links (a, b): the smallest node that it reaches. Minimum labels spread over links, with pointer jumping, each round a written table."""
-    both = scratch(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "labels")
+    """(node, component) of every node in links (a, b): the smallest node that it reaches.
+
+    Each round hangs every node below its smallest neighbour, if that is smaller, follows
+    these parents to the roots of their trees, and goes on with the links between roots
+    alone. So a round reads only what the last one left open, and in two rounds a root
+    either takes in a neighbour or goes below a smaller one: the roots of a component
+    that still have links at least halve. A step is a written table.
+    """
+    pairs = scratch(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    left, labels = pairs.filter("a < b"), None
+    while not left.isEmpty():
+        up = _roots(scratch(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "parents"))
+        higher = left.join(up.select(F.col("node").alias("b"), F.col("parent").alias("root")), "b").filter("a != root").select("a", "root").distinct()
+        ends = higher.join(up.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("parent", "a").alias("a"), F.col("root").alias("b")).filter("a != b")
+        left = scratch(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        if labels is not None:
+            below = labels.join(up.select(F.col("node").alias("component"), "parent"), "component", "left")
+            up = scratch(up.union(below.select("node", F.coalesce("parent", "component"))), "labels")
+        labels = up.withColumnRenamed("parent", "component")
+    own = pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    return own if labels is None else labels.union(own.join(labels, "node", "left_anti"))
+
+
+def _roots(up: DataFrame) -> DataFrame:
+    """up (node, parent), a forest without its roots, with each node's root for its parent: parents' parents by doubling."""
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = scratch(
-            lower.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")),
-            "labels",
-        )
-        labels = step.select("node", "component")
-        if step.filter("component < was").isEmpty():
-            return labels
+        further = up.select(F.col("node").alias("parent"), F.col("parent").alias("further"))
+        step = up.join(further, "parent", "left").select("node", F.coalesce("further", "parent").alias("parent"), F.col("further").isNotNull().alias("moved"))
+        step = scratch(step, "parents")
+        up = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            return up
 
 
 def _with_component(rows: DataFrame, groups: DataFrame, node: str, name: str) -> DataFrame:

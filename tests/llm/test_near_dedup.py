@@ -72,3 +72,52 @@ def test_rows_that_share_an_id(spark):
     left = near_dedup.drop_near_duplicates(table)
     assert left.columns == table.columns
     assert sorted(tuple(r) for r in left.collect()) == [(1, x, "n", "d", "w"), (5, y, "n", "d", "w")]
+
+
+def rows_joined(spark, run):
+    """What run returns, and how many rows the joins of its queries by a column b gave."""
+
+    def given(seen):
+        store, total = spark._jsparkSession.sharedState().statusStore(), 0
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        queries = store.executionsList()
+        for i in range(queries.size()):
+            if (query := queries.apply(i).executionId()) not in seen:
+                seen.add(query)
+                values, nodes = store.executionMetrics(query), store.planGraph(query).allNodes()
+                for node in map(nodes.apply, range(nodes.size())):
+                    if "Join [b#" in node.desc():
+                        metrics = map(node.metrics().apply, range(node.metrics().size()))
+                        made = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                        total += sum(int(x.get().replace(",", "")) for x in made if x.isDefined())
+        return total
+
+    given(seen := set())
+    result = run()
+    return result, given(seen)
+
+
+def test_components_read_each_link_about_once(spark, monkeypatch):
+    """A group of near copies, and a chain in no order: rows of joins grow with the links and not with the rounds, and rounds stay few."""
+    rng = random.Random(1)
+    copies = [(rng.randrange(300), rng.randrange(300)) for _ in range(1500)]
+    chain = rng.sample(range(1000, 1200), 200)
+    links = [*copies, *zip(chain, chain[1:], strict=False), (2000, 2000), (2001, 2000), (2001, 2000)]
+    written, scratch = [], near_dedup.scratch
+    monkeypatch.setattr(near_dedup, "scratch", lambda df, label: written.append(label) or scratch(df, label))
+    table = spark.createDataFrame(links, "a long, b long")
+    got, rows = rows_joined(spark, lambda: near_dedup.components(table).collect())
+    sets = {x: {x} for link in links for x in link}
+    for a, b in links:
+        if sets[a] is not sets[b]:
+            sets[a] |= sets[b]
+            for x in sets[b]:
+                sets[x] = sets[a]
+    assert sorted(map(tuple, got)) == sorted((x, min(s)) for x, s in sets.items())
+    assert len(links) // 2 < rows < 1.3 * len(links)
+    assert len(written) < 40
+
+
+def test_components_without_links(spark):
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert [tuple(r) for r in near_dedup.components(spark.createDataFrame([(3, 3)], "a long, b long")).collect()] == [(3, 3)]
