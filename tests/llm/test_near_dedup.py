@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from test_against_brute_force import components, sets_of
 
+import corpus_pipeline
 from chimerascope.llm import near_dedup
 from chimerascope.llm.shared import shingle_set
 
@@ -121,3 +122,23 @@ def test_components_read_each_link_about_once(spark, monkeypatch):
 def test_components_without_links(spark):
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).collect() == []
     assert [tuple(r) for r in near_dedup.components(spark.createDataFrame([(3, 3)], "a long, b long")).collect()] == [(3, 3)]
+
+
+def test_pipeline_stage_joins_written_links_once(spark, monkeypatch):
+    """The pipeline's stage on families with open buckets: joins by b give no more rows than the tables of links and pairs hold."""
+    rows = list(enumerate(t for seed in range(3) for t in family(seed, 60, edits=5)))
+    written, scratch = [], near_dedup.scratch
+
+    def counted(df, label):
+        table = scratch(df, label)
+        if label in ("links", "pairs", "stars", "confirmed"):
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(near_dedup, "scratch", counted)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got, joined = rows_joined(spark, lambda: corpus_pipeline.drop_copies(spark, table, "").collect())
+    want = components(sets_of(dict(rows), 5))
+    assert 3 < len(set(want.values())) < len(rows)
+    assert sorted(tuple(r) for r in got) == sorted((i, t) for i, t in rows if want[i] == i)
+    assert 0 < joined <= sum(written)
