@@ -52,3 +52,11 @@ def test_plans_hold_each_derivation_once(spark, name, most):
     spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 24))
     plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert 3 < len(re.findall(r"transform\(", plan)) <= most
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+def test_blocks_are_not_derived_again_to_ask_whether_there_are_any(spark):
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 24))
+    plan = registry.queries()["cds_blocks_phase"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert 3 < len(re.findall(r"transform\(", plan)) <= 15
+    assert not re.search(r"Join Inner.*transform\(", plan)
